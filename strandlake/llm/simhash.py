@@ -28,13 +28,14 @@ any id has a null component; further columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import documents, utf8
@@ -159,7 +160,7 @@ def plan(fps: DataFrame, radius: int = 3) -> list[tuple[int, list[int]]]:
     s2 = {order[r["g"]]: (r["s2"], r["n"]) for r in stats}  # a row for each group
     chosen = []
     for m, groups in layouts.items():
-        n = s2.get((m, 0), (0.0, 0))[1]
+        n = max(s2.get((m, 0), (0.0, 0))[1], 1)  # a row to weigh even if there is none
         cost, ts = allocate([len(b) for b in groups], [s2.get((m, g), (0.0, 0))[0] - n for g in range(m)], n, radius)
         chosen.append((cost, m, ts))
     _, m, ts = min(chosen)
@@ -172,12 +173,18 @@ def plan(fps: DataFrame, radius: int = 3) -> list[tuple[int, list[int]]]:
 
 
 def _signatures(fps: DataFrame, groups: list[tuple[int, list[int]]]) -> DataFrame:
-    rows = [
-        F.struct(F.lit(g).alias("g"), F.col("fp").bitwiseAND(F.lit(signed(mask))).bitwiseXOR(F.lit(signed(x))).alias("v"))
-        for g, (mask, flips) in enumerate(groups)
-        for x in flips
-    ]
-    return fps.select("fp", F.explode(F.array(*rows)).alias("x")).select("x.g", "x.v", "fp")
+    out = []
+    for g, (mask, flips) in enumerate(groups):
+        own = F.col("fp").bitwiseAND(F.lit(signed(mask)))
+        out.append(fps.select(F.lit(g).alias("g"), _flipped(own, flips).alias("v"), "fp"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _flipped(value: Column, flips: list[int]) -> Column:
+    """The value with every one of the masks applied, a row each."""
+    if flips == [0]:
+        return value
+    return F.explode(F.transform(F.lit(np.array([signed(x) for x in flips], np.int64)), lambda x: x.bitwiseXOR(value)))
 
 
 def _forest(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.uint64]]:
@@ -244,9 +251,8 @@ def _dense_links(fps: DataFrame, radius: int) -> DataFrame:
     near, far = radius // 2, radius - radius // 2
 
     def around(r: int) -> DataFrame:
-        flips = [signed(sum(1 << b for b in c)) for k in range(r + 1) for c in combinations(range(64), k)]
-        values = F.transform(F.array(*[F.lit(x) for x in flips]), lambda x: x.bitwiseXOR(F.col("fp")))
-        return fps.select("fp", F.explode(values).alias("at"))
+        flips = [sum(1 << b for b in c) for k in range(r + 1) for c in combinations(range(64), k)]
+        return fps.select("fp", _flipped(F.col("fp"), flips).alias("at"))
 
     centre = around(near).groupBy("at").agg(F.min("fp").alias("v"))
     return around(far).join(centre, "at").where("fp != v").select(F.col("fp").alias("u"), "v").distinct()
