@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from strandlake.llm import simhash
+from strandlake.llm import langid, simhash, tokenfile
 
 
 def queries() -> dict:
-    return {"op3_simhash_near_dedup": simhash.op3_simhash_near_dedup}
+    return {
+        "op1_language_id": langid.op1_language_id,
+        "op2_token_files": tokenfile.op2_token_files,
+        "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict:
