@@ -286,3 +286,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = 3) -> DataFrame:
+    """``docs`` without near duplicates: of every group the row with the least (id, text hash) stays.
+
+    Rows that are equal in both are one document of which one row stays; an empty group key
+    (a null id) sorts last.
+    """
+    cols = docs.columns
+    d = docs.withColumn("_th", F.xxhash64(F.col(text_col).cast("string")))
+    prints = materialize(_keyed_prints(d, id_col, text_col), "prints")
+    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_th")).alias("first"))
+    nodes = materialize(nodes, "nodes")
+    comps = connected_components(link(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    named = nodes.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    first = named.groupBy("comp").agg(F.min("first").alias("first")).select(F.col("first._id").alias("_id"), F.col("first._th").alias("_h"))
+    # one row per group comes back to the texts, by id and text hash
+    kept = d.join(first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left_semi")
+    return kept.dropDuplicates([id_col, "_th"]).select(*cols)
+
+
+def _keyed_prints(d: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = [signed(fingerprint(t)) for t in utf8(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints, pa.int64())], ["_id", "_th", "fp"])
+
+    own = d.select(F.col(id_col).cast("long").alias("_id"), "_th", F.col(text_col).cast("string").alias("text"))
+    return own.mapInArrow(run, "_id long, _th long, fp long")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of every near-duplicate group stays."""
+    return keep_first(docs)
