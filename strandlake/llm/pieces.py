@@ -14,8 +14,9 @@ bound is tight and every region that is taken from the queue gives one segmentat
 is left of it goes back as two regions.  The last value in the queue after k results is the
 threshold kappa of their inclusion scores, log(1 - exp(-exp(log p - kappa))).
 
-No piece of such a vocabulary holds a blank after another character, or a line feed, so the
-lattice of a text is a chain of lattices of its words.  Those of words that a worker has seen
+No piece of such a vocabulary holds a blank after another character, or a line feed, and most
+hold no punctuation beside letters: where no piece holds two neighbouring characters the text
+is cut, and its lattice is a chain of its words' lattices.  Those of words that a worker has seen
 are kept, up to ``MAX_WORDS``, and all words of many texts are walked at once with numpy.
 Random numbers are a hash of (seed, row key, sample, place): they don't depend on partitions or
 attempts, so a repeated task returns the same rows.
@@ -28,7 +29,6 @@ pass through.  Decoding returns exactly the text that was encoded.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from math import exp, expm1, log, log1p
 
@@ -42,9 +42,10 @@ from strandlake.llm.common import chunks, documents
 
 K = 2
 SEED = 20240601
-MAX_WORDS = 250_000
+MAX_WORDS = 120_000
 CHUNK_CHARS = 1 << 18
-_WORD = re.compile(" *[^ \n]+|\n| +")
+#: Pairs of characters below this code are looked up in a table.
+SMALL = 0x180
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 SAMPLES = "array<struct<ids:array<int>,log_prob:double,perturbed:double,log_inclusion:double>>"
 
@@ -108,6 +109,11 @@ class Lattices:
             raise ValueError("the vocabulary has no byte pieces")
         self.byte_weight = -log(1.0 + rank)
         self.prefixes = {t[:j] for t in self.vocab for j in range(1, len(t) + 1)}
+        self.joined = np.zeros((SMALL, SMALL), bool)
+        for t in self.vocab:
+            for a, b in zip(t, t[1:]):
+                if a < chr(SMALL) and b < chr(SMALL):
+                    self.joined[ord(a), ord(b)] = True
         self.clear()
 
     @classmethod
@@ -121,8 +127,26 @@ class Lattices:
         self.nodes = 0
         #: of edges: end of its share (node number + cumulated probability), node it leads to (-1: end),
         #: log-probability, mass of the node's other edges, and its pieces as a run of ``ids``.
-        self.cdf, self.next, self.logp, self.other = np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        self.run, self.n_ids, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.cdf, self.next, self.logp, self.other = np.zeros(0), np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
+        self.run, self.n_ids, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int8), np.zeros(0, np.int32)
+
+    def split(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The words of all texts, each with its extra blank in front, and how many each text has.
+
+        A text is cut wherever no piece holds the two characters in a row, so that no edge of the
+        lattice reaches over a cut.
+        """
+        whole = "".join([f" {t}" for t in texts])
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        small = np.where(code < SMALL, code, 0)
+        far = code >= SMALL
+        on = self.joined[small[:-1], small[1:]] | far[:-1] | far[1:]
+        on &= ~(((code[1:] == 32) & (code[:-1] != 32)) | (code[1:] == 10) | (code[:-1] == 10))
+        begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+        on[begin[1:-1] - 1] = False
+        at = np.concatenate([[0], np.nonzero(~on)[0] + 1, [len(code)]])
+        cut = at.tolist()
+        return [whole[a:b] for a, b in zip(cut, cut[1:])], np.diff(np.searchsorted(at, begin))
 
     def edges(self, w: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For every place of the word its edges: (place reached, log-weight, pieces)."""
@@ -170,9 +194,9 @@ class Lattices:
             node += n
         runs = len(self.ids) + np.cumsum([0, *n_ids])[:-1]
         self.nodes = node
-        self.cdf, self.next = np.append(self.cdf, cdf), np.append(self.next, np.array(nxt, np.int64))
+        self.cdf, self.next = np.append(self.cdf, cdf), np.append(self.next, np.array(nxt, np.int32))
         self.logp, self.other = np.append(self.logp, logp), np.append(self.other, other)
-        self.run, self.n_ids = np.append(self.run, runs.astype(np.int64)), np.append(self.n_ids, np.array(n_ids, np.int64))
+        self.run, self.n_ids = np.append(self.run, runs.astype(np.int32)), np.append(self.n_ids, np.array(n_ids, np.int8))
         self.ids = np.append(self.ids, np.array(ids, np.int32))
 
     def starts(self, words: list[str]) -> np.ndarray:
@@ -202,7 +226,7 @@ class Lattices:
         return edge[order], owner[order]
 
     def pieces(self, edges: np.ndarray) -> np.ndarray:
-        n = self.n_ids[edges]
+        n = self.n_ids[edges].astype(np.int64)
         if n.max(initial=1) == 1:
             return self.ids[self.run[edges]]
         first = np.cumsum(n) - n
@@ -276,9 +300,8 @@ class _Text:
 
 def encode_texts(lat: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[list[dict]]:
     """Samples of every text, the largest perturbed value first; all words of the texts are walked at once."""
-    split = [_WORD.findall(" " + t) for t in texts]
-    sizes = np.array([len(w) for w in split])
-    start = lat.starts([w for ws in split for w in ws])
+    words, sizes = lat.split(texts)
+    start = lat.starts(words)
     ends = np.cumsum(sizes)
     doc = np.repeat(np.arange(len(texts)), sizes)
     place = (np.arange(len(start)) - (ends - sizes)[doc]).astype(np.uint64)

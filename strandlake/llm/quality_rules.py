@@ -22,6 +22,8 @@ query and kept by ``clean``.  A text is one row however long it is.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,28 +50,24 @@ def _lost_chars(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def _line(line: Column) -> Column:
-    """What the rules need to know of a line."""
-    w = words(line)
+def _line(line: Column, w: Column) -> Column:
+    """What the rules need to know of a line and its words."""
     return F.struct(
         line.alias("line"),
         F.size(w).alias("n_words"),
         F.length(F.concat_ws("", w)).alias("chars"),
         _lost_chars(line, _SYMBOL).alias("symbols"),
-        _lost_chars(line, "[|>]").alias("separators"),
-        F.lower(line).alias("low"),
     )
 
 
 def _fails(x: Column) -> Column:
     trimmed = F.rtrim(x["line"], F.lit(BLANKS))
     punctuation = ~F.substring(trimmed, -1, 1).isin(*ENDINGS)
-    navigation = (x["separators"] >= MIN_SEPARATORS) & (10 * x["separators"] >= x["n_words"])
+    separators = _lost_chars(x["line"], "[|>]")  # both are symbols: most lines have none to count
+    navigation = F.when(x["symbols"] >= MIN_SEPARATORS, separators >= F.greatest(F.lit(MIN_SEPARATORS), F.ceil(x["n_words"] / 10))).otherwise(False)
     symbols = 100 * x["symbols"] > MAX_SYMBOLS * x["chars"]
     shouting = ~x["line"].rlike("[a-z]") & (F.length(F.regexp_replace(x["line"], "[^A-Z]", "")) >= 10)
-    phrase = F.lit(False)
-    for p in PHRASES:
-        phrase = phrase | x["low"].contains(p)
+    phrase = F.lower(x["line"]).rlike("|".join(map(re.escape, PHRASES)))
     return punctuation | navigation | symbols | shouting | ((x["n_words"] <= MAX_PHRASE_WORDS) & phrase)
 
 
@@ -96,7 +94,9 @@ def repeat_words(df: DataFrame, words_col: str, out: str) -> DataFrame:
 def assess(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the counts, both verdicts and the cleaned text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.withColumn("_w", words(text)).withColumn("_lines", F.filter(F.transform(F.split(text, "\n"), _line), lambda x: x["n_words"] > 0))
+    df = docs.withColumn("_split", F.split(text, "\n"))
+    df = df.withColumn("_words", F.transform("_split", words))  # a line feed parts words, so these are the text's, too
+    df = df.withColumn("_w", F.flatten("_words")).withColumn("_lines", F.filter(F.zip_with("_split", "_words", _line), lambda x: x["n_words"] > 0))
     df = df.withColumn("_good", F.filter("_lines", lambda x: ~_fails(x)))
     df = df.withColumns({
         "n_words": F.size("_w").cast("long"),
@@ -106,7 +106,7 @@ def assess(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_kept_words": F.aggregate("_good", F.lit(0).cast("long"), lambda a, x: a + x["n_words"]),
         "clean_text": F.array_join(F.transform("_good", lambda x: x["line"]), "\n"),
     })
-    df = repeat_words(df, "_w", "n_repeat_words").drop("_w", "_lines", "_good")
+    df = repeat_words(df, "_w", "n_repeat_words").drop("_split", "_words", "_w", "_lines", "_good")
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
     return df.withColumn("kept", ~F.col("base_failed") & (100 * (F.col("n_words") - F.col("n_kept_words")) <= MAX_LOSS * F.col("n_words")))
 

@@ -28,8 +28,11 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urlparse
 
 import numpy as np
@@ -42,7 +45,7 @@ from strandlake.llm.common import documents, utf8
 from strandlake.plans.scratch import scratch_path
 
 END_ID = 1
-MAX_CACHED = 600_000
+MAX_CACHED = 1_000_000
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
 
@@ -66,6 +69,9 @@ class Encoder:
         self.cache: dict[bytes, bytes] = {}
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
+        self.code = "I" if self.wide else "H"
+        if sys.byteorder != "little":
+            raise RuntimeError("files are little-endian and written as they are in memory")
         spec = json.loads(self.tokenizer.to_str())
         # lower-casing an ASCII piece first changes nothing where the tokenizer lower-cases itself
         self.lower = '"Lowercase"' in json.dumps(spec.get("normalizer"))
@@ -77,33 +83,30 @@ class Encoder:
         return cls._own[path]
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of every text, as packed little-endian integers without the end id."""
         split: list = []
-        missing: set[bytes] = set()
+        if len(self.cache) > MAX_CACHED:
+            # frequent pieces come early, so the older half is the one to keep
+            self.cache = dict(islice(self.cache.items(), MAX_CACHED // 2))
         cache = self.cache
-        if len(cache) > MAX_CACHED:
-            cache.clear()
         for t in texts:
             t = t or b""
             low = t.lower()
             if any(s in low for s in self.special):
                 split.append(t.decode())
-                continue
-            pieces = low.split() if self.lower and t.isascii() else t.split()
-            if self.lower and not t.isascii():
-                pieces = [p.lower() if p.isascii() else p for p in pieces]
-            missing.update(p for p in pieces if p not in cache)
-            split.append(pieces)
-        if missing:
-            new = list(missing)
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)):
-                    cache[p] = np.array(e.ids, self.dtype).tobytes()
-        return [self._whole(x) if isinstance(x, str) else b"".join([cache[p] for p in x]) for x in split]
+            elif self.lower and b"\xcc" not in t and b"\xcd" not in t:  # no mark (U+0300 to U+037F) to compose with a letter
+                split.append(low.split())
+            else:
+                split.append(t.split())
+        missing = list(set().union(*(x for x in split if isinstance(x, list))).difference(cache))
+        for i in range(0, len(missing), 4096):
+            part = missing[i : i + 4096]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)):
+                cache[p] = array(self.code, e.ids).tobytes()
+        return [self._whole(x) if isinstance(x, str) else b"".join(map(cache.__getitem__, x)) for x in split]
 
 
 def local_path(uri: str) -> str:
