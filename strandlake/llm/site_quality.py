@@ -1,11 +1,11 @@
 """Quality and toxicity by hierarchical empirical Bayes over documents, paths and hosts.
 
-Document evidence: a Bernoulli naive Bayes over hashed features (the set of a text's words, and
-the shape of its characters in a few classes).  It is fitted on at most ``max_labels`` labelled
+Document evidence: a logistic regression over hashed features (the set of a text's words, and
+classes of its shape: shares of symbols, capitals, distinct and repeated words).  It is fitted on at most ``max_labels`` labelled
 rows, those with the least hash of their id; that sample is the only thing about rows that is
 broadcast.  Of the features, those whose share among positive rows differs from that among
 others by ``MIN_Z`` standard errors count, ``MAX_FEATURES`` at most, so that words of no bearing
-add no noise.  A document's evidence is the sum of its features' log-likelihood ratios.
+add no noise.  A document's evidence is its log-odds less those of the sample.
 
 Hierarchy: grouped aggregation adds up the documents' own posteriors by path and by host over
 all documents.  A host's rate is its mean shrunk towards the global rate, a path's its mean
@@ -26,6 +26,7 @@ rate is one half.  Further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from strandlake.plans.scratch import materialize
 
 BUCKET_BITS = 18
 MAX_LABELS = 60_000
-MAX_FEATURES, MIN_Z = 4096, 5.0
+MAX_FEATURES, MIN_Z = 512, 5.0
 TARGETS = ("quality", "toxic")
 _STRIP = b".,;:!?\"'()[]{}*#$%&|<>"
 _SHAPES = (b"#*$%&", b"|>", b"!", b"0123456789")
@@ -48,11 +49,16 @@ def features(text: bytes | None) -> np.ndarray:
     """Sorted distinct buckets of a text's words and shape."""
     text = text or b""
     low = text.lower()
-    words = {w.strip(_STRIP) for w in low.split()}
+    split = low.split()
+    words = {w.strip(_STRIP) for w in split}
+    distinct = b"\ndistinct/%d" % int(10 * len(words) / max(1, len(split)))
+    same = b"\nsame/%d" % min(9, int(20 * sum(map(eq, split, split[1:])) / max(1, len(split))))
     size = max(1, len(text))
     shape = [b"\n%d/%d" % (i, min(9, int(40 * sum(map(text.count, (bytes([c]) for c in chars))) / size))) for i, chars in enumerate(_SHAPES)]
     shape.append(b"\ncase/%d" % _case(text, low, size))
     words.update(shape)
+    if len(split) >= 10:  # the shares say nothing about a few words
+        words.update((distinct, same))
     mask = (1 << BUCKET_BITS) - 1
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(w, 7) & mask for w in words), np.int64, len(words)))
 
@@ -109,22 +115,57 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     prior, base, table = np.zeros(width), np.zeros(width), np.zeros((1 << BUCKET_BITS, width))
     if total is None:
         return Evidence(prior, base, table)
+    chosen: dict[int, np.ndarray] = {}
     for k, t in enumerate(TARGETS):
         pos, neg = total[t], total["n"] - total[t]
         if not pos or not neg:
             continue
-        prior[k] = np.log(pos / neg)
         a, b = F.col(t) / F.lit(pos), (F.col("n") - F.col(t)) / F.lit(neg)
         share = F.col("n") / F.lit(total["n"])
         z = F.abs(a - b) / F.sqrt(share * (1 - share) * F.lit(1 / pos + 1 / neg) + F.lit(1e-12))
         top = counts.where("cell >= 0").withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "cell").limit(MAX_FEATURES)
-        for r in top.collect():
-            p, q = (r[t] + 0.5) / (pos + 1), (r["n"] - r[t] + 0.5) / (neg + 1)
-            table[r["cell"], k] = np.log(p / q) - np.log((1 - p) / (1 - q))
-            base[k] += np.log((1 - p) / (1 - q))
+        chosen[k] = np.array(sorted(r["cell"] for r in top.select("cell").collect()), np.int64)
+    if not chosen:
+        return Evidence(prior, base, table)
+    wanted = spark.sparkContext.broadcast(np.unique(np.concatenate(list(chosen.values()))))
+    rows = d.mapInArrow(_selected(shared, wanted), "id long, cells array<long>").orderBy("id").collect()  # bounded by the parameters
+    own = shared.value
+    y = np.array([own[r["id"]] for r in rows], np.float64).reshape(-1, width)
+    row = np.repeat(np.arange(len(rows)), [len(r["cells"]) for r in rows])
+    cell = np.array([c for r in rows for c in r["cells"]], np.int64)
+    for k, cells in chosen.items():
+        at = np.searchsorted(cells, cell)
+        ok = (at < len(cells)) & (cells[np.minimum(at, max(0, len(cells) - 1))] == cell) if len(cells) else np.zeros(len(cell), bool)
+        w, start = logistic(row[ok], at[ok], len(cells), y[:, k])
+        prior[k] = np.log(y[:, k].sum() / (len(y) - y[:, k].sum()))
+        base[k] = start - prior[k]
+        table[cells, k] = w
     return Evidence(prior, base, table)
 
 
+def _selected(labels, wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [i for i, d in enumerate(b.column(0).to_pylist()) if d in labels.value]
+            cells = [np.intersect1d(features(b.column(1)[i].cast(pa.binary()).as_py()), wanted.value) for i in at]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(cells, pa.list_(pa.int64()))], ["id", "cells"])
+
+    return run
+
+
+def logistic(row: np.ndarray, feature: np.ndarray, n: int, y: np.ndarray, *, ridge: float = 1e-5, rounds: int = 400, rate: float = 0.05) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression on 0/1 features, by Adam on the whole sample."""
+    w, b = np.zeros(n), float(np.log(max(y.sum(), 0.5) / max(len(y) - y.sum(), 0.5)))
+    m, v = np.zeros(n + 1), np.zeros(n + 1)
+    for k in range(1, rounds + 1):
+        miss = 1 / (1 + np.exp(-(np.bincount(row, w[feature], minlength=len(y)) + b))) - y
+        g = np.append(np.bincount(feature, miss[row], minlength=n) / len(y) + ridge * w, miss.mean())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+        w, b = w - step[:-1], b - float(step[-1])
+    return w, b
+
+
 def _evidence(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
