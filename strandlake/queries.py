@@ -15,6 +15,7 @@ from strandlake.functions import dna, handles
 from strandlake.functions.handles import flip, is_reverse, node_of, pack
 from strandlake.operators import edit_graph, edit_paths, paths, scan, validate
 from strandlake.plans import chains as runs
+from strandlake.plans import consensus
 from strandlake.schema import Graph
 from strandlake.sources import gfa
 from strandlake.sources.testgraph import chains, chains_sql, dense, dense_sql
@@ -35,6 +36,13 @@ def query(name: str, sql: str | None = None, graph=dense):
     return add
 
 
+def register(name: str, fn: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    """Register a function of (spark, sf_dir)."""
+    QUERIES[name] = fn
+    if sql is not None:
+        SQL[name] = sql
+
+
 def long(c, name: str):
     return (F.col(c) if isinstance(c, str) else c).cast("bigint").alias(name)
 
@@ -76,12 +84,11 @@ def _(g):
     return g.nodes.select("node_id", dna.reverse_complement("seq").alias("rev_comp"))
 
 
-@query("normalise_packed", "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, regexp_replace(upper(p_name), '[^ACGT]', 'N', 'g') AS bases FROM part")
-def _(g):
-    raise NotImplementedError
-
-
-QUERIES["normalise_packed"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("bigint").alias("p_partkey"), dna.plain_bases("p_name").alias("bases"))
+register(
+    "normalise_packed",
+    lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("bigint").alias("p_partkey"), dna.plain_bases("p_name").alias("bases")),
+    "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, regexp_replace(upper(p_name), '[^ACGT]', 'N', 'g') AS bases FROM part",
+)
 
 
 @query("encode_decode_bases", dense_sql("SELECT node_id, translate(seq, 'ACGTN', '01234') || CASE WHEN length(seq) % 2 = 1 THEN 'F' ELSE '' END AS packed_hex, seq AS decoded FROM nodes"))
@@ -130,17 +137,12 @@ def _(g):
     return g.paths
 
 
-@query("has_node_probe", dense_sql("SELECT DISTINCT CAST(l_suppkey + 1 AS BIGINT) * 37 AS node_id, CAST(l_suppkey + 1 AS BIGINT) * 37 IN (SELECT node_id FROM nodes) AS present FROM lineitem"))
-def _(g):
-    raise NotImplementedError
-
-
 def _has_node(spark, sf_dir):
     ids = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(((F.col("l_suppkey") + 1) * 37).alias("node_id")).distinct()
     return scan.has_node(dense(spark, sf_dir), ids)
 
 
-QUERIES["has_node_probe"] = _has_node
+register("has_node_probe", _has_node, dense_sql("SELECT DISTINCT CAST(l_suppkey + 1 AS BIGINT) * 37 AS node_id, CAST(l_suppkey + 1 AS BIGINT) * 37 IN (SELECT node_id FROM nodes) AS present FROM lineitem"))
 
 
 @query("nodes_of_steps", dense_sql("SELECT handle >> 1 AS node_id, seq FROM (SELECT DISTINCT (handle >> 1) * 2 AS handle FROM steps) JOIN nodes ON node_id = handle >> 1"))
@@ -214,7 +216,7 @@ def _(g):
 # Paths --------------------------------------------------------------------------------------------
 
 
-@query("find_paths", dense_sql("SELECT 'order#' || (3 * path_id) AS name, p.path_id FROM (SELECT path_id AS k FROM paths) JOIN (SELECT path_id FROM paths) q ON q.path_id = k LEFT JOIN (SELECT path_id, name AS n FROM paths) p ON p.n = 'order#' || (3 * k)").replace("3 * path_id", "3 * k"))
+@query("find_paths", dense_sql("SELECT 'order#' || (3 * k) AS name, p.path_id FROM (SELECT path_id AS k FROM paths) LEFT JOIN (SELECT path_id, name AS n FROM paths) p ON p.n = 'order#' || (3 * k)"))
 def _(g):
     return paths.find_paths(g, g.paths.select(F.concat(F.lit("order#"), F.col("path_id") * 3).alias("name")))
 
@@ -424,7 +426,8 @@ def _(g):
     return rows(edit_graph.compact_ids(g), "nodes", "steps")
 
 
-@query("defragment_steps", dense_sql("SELECT p.k AS path_id, ord, row_number() OVER (PARTITION BY path_id ORDER BY step_id) AS step_id, handle FROM steps s JOIN (SELECT path_id, row_number() OVER (ORDER BY path_id) AS k FROM paths WHERE NOT circular) p USING (path_id)").replace("ord, row_number()", "row_number() OVER (PARTITION BY path_id ORDER BY ord) AS ord, row_number()").replace("FROM steps s JOIN", "FROM (SELECT * FROM steps WHERE handle & 1 = 0) s JOIN"))
+@query("defragment_steps", dense_sql("""SELECT p.k AS path_id, row_number() OVER (PARTITION BY path_id ORDER BY ord) AS ord, row_number() OVER (PARTITION BY path_id ORDER BY step_id) AS step_id, handle
+  FROM (SELECT * FROM steps WHERE handle & 1 = 0) s JOIN (SELECT path_id, row_number() OVER (ORDER BY path_id) AS k FROM paths WHERE NOT circular) p USING (path_id)"""))
 def _(g):
     g = edit_paths.destroy_paths(g, g.paths.where("circular").select("path_id"))
     g = edit_paths.remove_steps(g, g.steps.where(is_reverse("handle")).select("path_id", "step_id"))
@@ -536,7 +539,7 @@ def _(g):
 
 RUNS = f"""{PERFECT},
 outd AS (SELECT l, count(*) AS c FROM adj GROUP BY l), ind AS (SELECT r, count(*) AS c FROM adj GROUP BY r),
-good AS (SELECT p.l >> 1 AS u, p.r >> 1 AS v FROM perf p JOIN outd o ON o.l = p.l JOIN ind i ON i.r = p.r WHERE perfect AND o.c = 1 AND i.c = 1),
+good AS (SELECT CASE WHEN p.l & 1 = 1 THEN p.r >> 1 ELSE p.l >> 1 END AS u, CASE WHEN p.l & 1 = 1 THEN p.l >> 1 ELSE p.r >> 1 END AS v FROM perf p JOIN outd o ON o.l = p.l JOIN ind i ON i.r = p.r WHERE perfect AND o.c = 1 AND i.c = 1),
 walk(head, node, rank) AS (SELECT u, u, 1 FROM good WHERE u NOT IN (SELECT v FROM good) UNION ALL SELECT head, v, rank + 1 FROM walk JOIN good ON u = node),
 runs AS (SELECT min(node) OVER (PARTITION BY head) AS run_id, node, rank, head FROM walk)"""
 
@@ -546,16 +549,14 @@ def _(g):
     return runs.simple_components(g, 2)
 
 
-@query("components", None, chains)
+@query("components", chains_sql("SELECT n AS node_id, CAST(min(m) AS BIGINT) AS component FROM reach GROUP BY n", """
+pairs AS (SELECT DISTINCT l >> 1 AS u, r >> 1 AS v FROM edges UNION SELECT DISTINCT r >> 1, l >> 1 FROM edges),
+reach(n, m) AS (SELECT node_id, node_id FROM nodes WHERE node_id IN (SELECT min(node_id) FROM nodes) OR node_id NOT IN (SELECT u FROM pairs)
+  UNION SELECT v, m FROM reach JOIN pairs ON u = n)""", recursive=True), chains)
 def _(g):
     return runs.components(g)
 
 
-SQL["components"] = chains_sql("SELECT n AS node_id, CAST(min(m) AS BIGINT) AS component FROM reach GROUP BY n", """
-pairs AS (SELECT DISTINCT l >> 1 AS u, r >> 1 AS v FROM edges UNION SELECT DISTINCT r >> 1, l >> 1 FROM edges),
-reach(n, m) AS (SELECT node_id, node_id FROM nodes WHERE node_id IN (SELECT min(node_id) FROM nodes) OR node_id NOT IN (SELECT u FROM pairs)
-  UNION SELECT v, m FROM reach JOIN pairs ON u = n)""", recursive=True)
-
 UNCHOP = RUNS + """,
 rank_of AS (SELECT node_id, row_number() OVER (ORDER BY node_id) AS k FROM nodes),
 newid AS (SELECT run_id, (SELECT max(node_id) FROM nodes) + row_number() OVER (ORDER BY run_id) AS id FROM (SELECT DISTINCT run_id FROM runs)),
@@ -576,6 +577,44 @@ def _(g):
     return runs.unchop(g).steps.drop("step_id")
 
 
+# Consensus: the paths of customers with a negative balance are the consensus, in the order of their ids.
+
+LINKS = f"""chosen AS (SELECT c_custkey AS path_id, row_number() OVER (ORDER BY c_custkey) AS pos FROM customer WHERE c_acctbal < 0),
+cons AS (SELECT handle >> 1 AS node_id, min(path_id) AS cons FROM steps JOIN chosen USING (path_id) GROUP BY 1),
+{POS.split(", bp AS")[0]},
+lay AS (SELECT node_id, CAST(sum(length(seq)) OVER (ORDER BY node_id) - length(seq) AS BIGINT) AS start, length(seq) AS len FROM nodes),
+onc AS (SELECT p.path_id, p.ord, cons, begin0, p.len, p.handle >> 1 AS node_id, CASE WHEN handle & 1 = 1 THEN start + lay.len ELSE start END AS a, CASE WHEN handle & 1 = 1 THEN start ELSE start + lay.len END AS z
+  FROM pos p JOIN cons c ON c.node_id = p.handle >> 1 JOIN lay ON lay.node_id = p.handle >> 1 WHERE p.path_id NOT IN (SELECT path_id FROM chosen)),
+lagged AS (SELECT path_id, lag(ord) OVER w AS begin_ord, ord AS end_ord, lag(cons) OVER w AS c0, cons AS c1, lag(node_id) OVER w AS n0, node_id AS n1,
+  begin0 - lag(begin0) OVER w - lag(len) OVER w AS length, abs(a - lag(z) OVER w) AS jump_len FROM onc WINDOW w AS (PARTITION BY path_id ORDER BY ord)),
+cand AS (SELECT * FROM lagged WHERE begin_ord IS NOT NULL AND (c0 <> c1 OR jump_len >= 50)),
+spelled AS (SELECT c.path_id, c.begin_ord, string_agg(CASE WHEN s.handle & 1 = 1 THEN {RC} ELSE seq END, '' ORDER BY s.ord) AS t
+  FROM cand c JOIN steps s ON s.path_id = c.path_id AND s.ord > c.begin_ord AND s.ord < c.end_ord JOIN nodes n ON n.node_id = s.handle >> 1 GROUP BY 1, 2)"""
+
+
+def consensus_paths(g: Graph, spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal < 0")
+    return own.select(F.col("c_custkey").alias("pos"), F.col("c_custkey").alias("path_id"))
+
+
+def _links(spark, sf_dir):
+    g = chains(spark, sf_dir)
+    return consensus.link_candidates(g, consensus_paths(g, spark, sf_dir), 50)
+
+
+def _best(spark, sf_dir):
+    from strandlake.plans.scratch import materialize
+
+    g = chains(spark, sf_dir)
+    links = materialize(consensus.link_candidates(g, consensus_paths(g, spark, sf_dir), 50), "candidates")
+    return consensus.best_links(g, links, 50, 10_000)[0].drop("link_id")
+
+
+register("consensus_links", _links, chains_sql("""SELECT least(c0, c1) AS from_path, greatest(c0, c1) AS to_path, c.path_id, c.begin_ord, end_ord, length,
+  md5(concat_ws(':', n0, n1, coalesce(t, ''))) AS hash, jump_len FROM cand c LEFT JOIN spelled s ON s.path_id = c.path_id AND s.begin_ord = c.begin_ord""", LINKS))
+register("consensus_best_links", _best)
+
+
 # Files and checks ---------------------------------------------------------------------------------
 
 SIGN = "CASE WHEN {0} & 1 = 1 THEN '-' ELSE '+' END"

@@ -16,16 +16,16 @@ from strandlake.schema import Graph
 def parse_lines(lines: DataFrame, col: str = "value") -> Graph:
     """The graph of a table of lines.  Paths are numbered from 0 by name; one name twice is an error."""
     f = lines.select(F.split(F.regexp_replace(F.col(col), "\r$", ""), "\t").alias("f"))
-    s = f.where(F.col("f")[0] == "S").select(F.col("f")[1].cast("bigint").alias("node_id"), F.col("f")[2].alias("seq"))
+    s = f.where(F.get("f", F.lit(0)) == "S").select(F.get("f", F.lit(1)).try_cast("bigint").alias("node_id"), F.get("f", F.lit(2)).alias("seq"))
     nodes = s.where(F.assert_true(F.col("node_id") > 0, F.lit("segment names must be positive integers")).isNull())
-    e = f.where(F.col("f")[0] == "L").select(pack(F.col("f")[1], F.col("f")[2] == "-").alias("l"), pack(F.col("f")[3], F.col("f")[4] == "-").alias("r"))
-    p = f.where(F.col("f")[0] == "P").select(F.col("f")[1].alias("name"), F.col("f")[2].alias("walk"))
+    e = f.where(F.get("f", F.lit(0)) == "L").select(pack(F.get("f", F.lit(1)).try_cast("bigint"), F.get("f", F.lit(2)) == "-").alias("l"), pack(F.get("f", F.lit(3)).try_cast("bigint"), F.get("f", F.lit(4)) == "-").alias("r"))
+    p = f.where(F.get("f", F.lit(0)) == "P").select(F.get("f", F.lit(1)).alias("name"), F.get("f", F.lit(2)).alias("walk"))
     once = p.groupBy("name").agg(F.count("*").alias("n"))
     once = once.where(F.assert_true(F.col("n") == 1, F.lit("path name used twice")).isNull()).select("name")
     ids = number_globally(once, [F.col("name")], "path_id", 0)
     paths = ids.select("path_id", "name", F.lit(False).alias("circular"))
     steps = p.join(ids, "name").select("path_id", F.posexplode(F.split(F.regexp_replace("walk", ",$", ""), ",")).alias("k", "s")).where("s != ''")
-    steps = steps.select("path_id", (F.col("k") + 1).cast("bigint").alias("ord"), (F.col("k") + 1).cast("bigint").alias("step_id"), pack(F.expr("substring(s, 1, length(s) - 1)"), F.col("s").endswith("-")).alias("handle"))
+    steps = steps.select("path_id", (F.col("k") + 1).cast("bigint").alias("ord"), (F.col("k") + 1).cast("bigint").alias("step_id"), pack(F.expr("try_cast(substring(s, 1, length(s) - 1) AS bigint)"), F.col("s").endswith("-")).alias("handle"))
     return Graph(nodes, canonical_edges(e), paths, steps)
 
 

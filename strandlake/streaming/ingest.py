@@ -19,9 +19,9 @@ def stream_gfa(spark: SparkSession, folder: str, out: str, *, checkpoint: str):
     def batch(lines: DataFrame, number: int) -> None:
         f = lines.select(F.split("value", "\t").alias("f")).persist()
         tables = {
-            "nodes": f.where(F.col("f")[0] == "S").select(F.col("f")[1].cast("bigint").alias("node_id"), F.col("f")[2].alias("seq")),
-            "edges": f.where(F.col("f")[0] == "L").select(canonical(pack(F.col("f")[1], F.col("f")[2] == "-"), pack(F.col("f")[3], F.col("f")[4] == "-")).alias("e")).select("e.l", "e.r"),
-            "walks": f.where(F.col("f")[0] == "P").select(F.col("f")[1].alias("name"), F.col("f")[2].alias("walk")),
+            "nodes": f.where(F.get("f", F.lit(0)) == "S").select(F.get("f", F.lit(1)).try_cast("bigint").alias("node_id"), F.get("f", F.lit(2)).alias("seq")),
+            "edges": f.where(F.get("f", F.lit(0)) == "L").select(canonical(pack(F.get("f", F.lit(1)).try_cast("bigint"), F.get("f", F.lit(2)) == "-"), pack(F.get("f", F.lit(3)).try_cast("bigint"), F.get("f", F.lit(4)) == "-")).alias("e")).select("e.l", "e.r"),
+            "walks": f.where(F.get("f", F.lit(0)) == "P").select(F.get("f", F.lit(1)).alias("name"), F.get("f", F.lit(2)).alias("walk")),
         }
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
