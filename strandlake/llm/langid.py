@@ -116,7 +116,7 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", *, bu
         buckets //= 2
     if n_langs * buckets * 4 > 2 * MAX_MATRIX_BYTES:
         raise ValueError(f"{n_langs} languages: the model would be over {MAX_MATRIX_BYTES} bytes")
-    counts = d.mapInArrow(_count(buckets), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = d.mapInArrow(_count(buckets), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(counts["lang"].unique())
     table = np.zeros((len(langs), buckets))
     docs = np.zeros(len(langs))
