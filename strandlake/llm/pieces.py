@@ -114,6 +114,7 @@ class Lattices:
             for a, b in zip(t, t[1:]):
                 if a < chr(SMALL) and b < chr(SMALL):
                     self.joined[ord(a), ord(b)] = True
+        self._tables()
         self.clear()
 
     @classmethod
@@ -166,38 +167,95 @@ class Lattices:
             out.append(own)
         return out
 
+    def _tables(self) -> None:
+        """By length, the hashes of all beginnings of pieces, in order, with the piece that each is, if any."""
+        texts = sorted(self.prefixes, key=len)
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in range(1, len(texts[-1]) + 1):
+            own = [t for t in texts if len(t) == n]
+            code = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+            h = np.zeros(len(own), np.uint64)
+            for k in range(n):
+                h = h * _M1 + code[:, k] + np.uint64(1)
+            order = np.argsort(h)
+            if len(np.unique(h)) < len(h):
+                raise ValueError("two pieces share a hash")
+            piece = np.array([self.vocab.get(t, (-1, 0.0))[0] for t in own])[order]
+            weight = np.array([self.vocab.get(t, (-1, 0.0))[1] for t in own])[order]
+            self.by_length.append((h[order], code[order], piece, weight))
+
+    def matches(self, code: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces at all places: place, length, piece and log-weight; ``end`` is the end of each place's word."""
+        out = []
+        at, h = np.arange(len(code)), np.zeros(len(code), np.uint64)
+        for n, (hashes, codes, piece, weight) in enumerate(self.by_length, 1):
+            on = at + n <= end[at]
+            at = at[on]
+            h = h[on] * _M1 + code[at + n - 1] + np.uint64(1)
+            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            on = hashes[k] == h
+            at, h, k = at[on], h[on], k[on]
+            if not len(at):
+                break
+            on = piece[k] >= 0
+            hit, k = at[on], k[on]
+            same = (code[hit[:, None] + np.arange(n)] == codes[k]).all(axis=1)
+            out.append((hit[same], np.full(int(same.sum()), n), piece[k[same]], weight[k[same]]))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+
     def add(self, words: list[str]) -> None:
-        """Put the words' lattices into the arrays."""
-        cdf, nxt, logp, other, n_ids, ids = [], [], [], [], [], []
-        node = self.nodes
-        for w in words:
-            self.word[w] = node
-            edges = self.edges(w)
-            n = len(w)
-            back = [0.0] * (n + 1)
-            for i in range(n - 1, -1, -1):
-                v = [x[1] + back[x[0]] for x in edges[i]]
-                top = max(v)
-                back[i] = top + log(sum([exp(x - top) for x in v])) if len(v) > 1 else top
-            for i, own in enumerate(edges):
-                lp = [lw + back[j] - back[i] for j, lw, _ in own]
-                p = [exp(x) for x in lp]
-                total, run = sum(p), 0.0
-                for k, (j, _, piece) in enumerate(own):
-                    run += p[k]
-                    cdf.append(node + i + (run / total if k + 1 < len(own) else 1.0))
-                    nxt.append(node + j if j < n else -1)
-                    logp.append(lp[k])
-                    other.append(sum(p[:k]) + sum(p[k + 1 :]))
-                    n_ids.append(len(piece))
-                    ids.extend(piece)
-            node += n
-        runs = len(self.ids) + np.cumsum([0, *n_ids])[:-1]
-        self.nodes = node
-        self.cdf, self.next = np.append(self.cdf, cdf), np.append(self.next, np.array(nxt, np.int32))
-        self.logp, self.other = np.append(self.logp, logp), np.append(self.other, other)
-        self.run, self.n_ids = np.append(self.run, runs.astype(np.int32)), np.append(self.n_ids, np.array(n_ids, np.int8))
-        self.ids = np.append(self.ids, np.array(ids, np.int32))
+        """Put the words' lattices into the arrays, all at once."""
+        whole = "".join(words)
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.array([len(w) for w in words])
+        begin = np.cumsum(size) - size
+        end = np.repeat(begin + size, size)
+        at, n, piece, weight = self.matches(code, end)
+        lacking = np.ones(len(code), bool)
+        lacking[at[n == 1]] = False
+        raw = [whole[i].encode("utf-8", "surrogatepass") for i in np.nonzero(lacking)[0].tolist()]
+        at = np.append(at, np.nonzero(lacking)[0])
+        n = np.append(n, np.ones(len(raw), np.int64))
+        piece = np.append(piece, -1 - np.arange(len(raw)))  # a run of byte pieces
+        weight = np.append(weight, [self.byte_weight * len(r) for r in raw])
+        # backward sums, all words at once, by the distance to the word's end
+        left = end[at] - at
+        order = np.lexsort((n, at, left))
+        at, n, piece, weight, left = (x[order] for x in (at, n, piece, weight, left))
+        back = np.zeros(len(code) + 1)
+        cuts = np.nonzero(np.append(True, left[1:] != left[:-1]))[0].tolist() + [len(left)]
+        for a, b in zip(cuts, cuts[1:]):
+            v = weight[a:b] + np.where(n[a:b] == left[a:b], 0.0, back[at[a:b] + n[a:b]])
+            first = np.nonzero(np.append(True, at[a + 1 : b] != at[a : b - 1]))[0]
+            back[at[a:b][first]] = np.logaddexp.reduceat(v, first)
+        order = np.lexsort((n, at))
+        at, n, piece, weight, left = (x[order] for x in (at, n, piece, weight, left))
+        last = n == left
+        logp = weight + np.where(last, 0.0, back[np.minimum(at + n, len(code))]) - back[at]
+        p = np.exp(logp)
+        first = np.nonzero(np.append(True, at[1:] != at[:-1]))[0]
+        total = np.add.reduceat(p, first)
+        per = np.diff(np.append(first, len(at)))
+        run = np.cumsum(p)
+        share = (run - np.repeat(run[first] - p[first], per)) / np.repeat(total, per)
+        share = np.clip(share, 1e-12, 1 - 1e-12)
+        share[np.append(first[1:], len(at)) - 1] = 1.0
+        n_ids = np.ones(len(at), np.int64)
+        bytes_at = np.nonzero(piece < 0)[0]
+        runs = [raw[k] for k in (-1 - piece[bytes_at]).tolist()]
+        n_ids[bytes_at] = [len(r) for r in runs]
+        where = np.cumsum(n_ids) - n_ids
+        ids = np.zeros(int(n_ids.sum()), np.int32)
+        ids[where[piece >= 0]] = piece[piece >= 0]
+        for k, r in zip(where[bytes_at].tolist(), runs):
+            ids[k : k + len(r)] = [self.byte_id[b] for b in r]
+        self.word.update(zip(words, (begin + self.nodes).tolist()))
+        self.cdf = np.append(self.cdf, self.nodes + at + share)
+        self.next = np.append(self.next, np.where(last, -1, self.nodes + at + n).astype(np.int32))
+        self.logp, self.other = np.append(self.logp, logp), np.append(self.other, np.repeat(total, per) - p)
+        self.run, self.n_ids = np.append(self.run, (where + len(self.ids)).astype(np.int32)), np.append(self.n_ids, n_ids.astype(np.int8))
+        self.ids = np.append(self.ids, ids)
+        self.nodes += len(code)
 
     def starts(self, words: list[str]) -> np.ndarray:
         """First nodes of the words; new ones are added."""
