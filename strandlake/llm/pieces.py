@@ -47,6 +47,7 @@ CHUNK_CHARS = 1 << 18
 #: Pairs of characters below this code are looked up in a table.
 SMALL = 0x180
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+_I1, _I2, _IGOLD, _ALL = int(_M1), int(_M2), int(_GOLD), (1 << 64) - 1
 SAMPLES = "array<struct<ids:array<int>,log_prob:double,perturbed:double,log_inclusion:double>>"
 
 
@@ -126,6 +127,7 @@ class Lattices:
     def clear(self) -> None:
         self.word: dict[str, int] = {}
         self.nodes = 0
+        self.first = np.zeros(0, np.int32)  # of nodes: their first edge
         #: of edges: end of its share (node number + cumulated probability), node it leads to (-1: end),
         #: log-probability, mass of the node's other edges, and its pieces as a run of ``ids``.
         self.cdf, self.next, self.logp, self.other = np.zeros(0), np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
@@ -250,6 +252,7 @@ class Lattices:
         for k, r in zip(where[bytes_at].tolist(), runs):
             ids[k : k + len(r)] = [self.byte_id[b] for b in r]
         self.word.update(zip(words, (begin + self.nodes).tolist()))
+        self.first = np.append(self.first, (first + len(self.cdf)).astype(np.int32))
         self.cdf = np.append(self.cdf, self.nodes + at + share)
         self.next = np.append(self.next, np.where(last, -1, self.nodes + at + n).astype(np.int32))
         self.logp, self.other = np.append(self.logp, logp), np.append(self.other, np.repeat(total, per) - p)
@@ -273,7 +276,11 @@ class Lattices:
         owners, taken = [], []
         while len(who):
             u = uniform(key[who], (place[who] << np.uint64(20)) + np.uint64(step))
-            e = np.searchsorted(self.cdf, node + u, side="right")
+            e, aim = self.first[node].astype(np.int64), node + u
+            short = np.nonzero(self.cdf[e] <= aim)[0]
+            while len(short):  # a node has few edges
+                e[short] += 1
+                short = short[self.cdf[e[short]] <= aim[short]]
             owners.append(who)
             taken.append(e)
             node = self.next[e]
@@ -293,7 +300,7 @@ class Lattices:
     def node_edges(self, edge: int) -> tuple[int, int]:
         """The run of edges that leave the same node."""
         node = int(np.ceil(self.cdf[edge])) - 1
-        return int(np.searchsorted(self.cdf, node, "right")), int(np.searchsorted(self.cdf, node + 1, "right"))
+        return int(self.first[node]), int(self.first[node + 1]) if node + 1 < self.nodes else len(self.cdf)
 
 
 class _Text:
@@ -304,7 +311,10 @@ class _Text:
 
     def u(self) -> float:
         self.draws += 1
-        return float(uniform(np.array([self.key], np.uint64) ^ _M1, np.array([self.draws], np.uint64))[0])
+        x = ((self.key ^ _I1) + self.draws * _IGOLD) & _ALL  # uniform() for one number
+        x = ((x ^ (x >> 30)) * _I1) & _ALL
+        x = ((x ^ (x >> 27)) * _I2) & _ALL
+        return (((x ^ (x >> 31)) >> 12) + 0.5) / (1 << 52)
 
     def group(self, edges, words, first: int, barred: frozenset, bound: float):
         """The region of all that leave the path at edge ``first`` or later, with its largest value."""
