@@ -128,11 +128,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if not chosen:
         return Evidence(prior, base, table)
     wanted = spark.sparkContext.broadcast(np.unique(np.concatenate(list(chosen.values()))))
-    rows = d.mapInArrow(_selected(shared, wanted), "id long, cells array<long>").orderBy("id").collect()  # bounded by the parameters
+    found = d.mapInArrow(_selected(shared, wanted), "id long, cells array<long>").toArrow()  # bounded by the parameters
+    rows = sorted(zip(found.column("id").to_pylist(), found.column("cells").to_pylist()))
     own = shared.value
-    y = np.array([own[r["id"]] for r in rows], np.float64).reshape(-1, width)
-    row = np.repeat(np.arange(len(rows)), [len(r["cells"]) for r in rows])
-    cell = np.array([c for r in rows for c in r["cells"]], np.int64)
+    y = np.array([own[i] for i, _ in rows], np.float64).reshape(-1, width)
+    row = np.repeat(np.arange(len(rows)), [len(c) for _, c in rows])
+    cell = np.array([x for _, c in rows for x in c], np.int64)
     for k, cells in chosen.items():
         at = np.searchsorted(cells, cell)
         ok = (at < len(cells)) & (cells[np.minimum(at, max(0, len(cells) - 1))] == cell) if len(cells) else np.zeros(len(cell), bool)
