@@ -423,9 +423,11 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids", out_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = Lattices.of(model)
-        for b in batches:
-            text = [None if x is None else decode_ids(lat, x).decode("utf-8", "replace") for x in b.column(len(cols)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(text, pa.string())], names=[*cols, out_col])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):  # the ids as Python numbers take many times their size
+                b = whole.slice(at, 128)
+                text = [None if x is None else decode_ids(lat, x).decode("utf-8", "replace") for x in b.column(len(cols)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(text, pa.string())], names=[*cols, out_col])
 
     return d.mapInArrow(run, df.withColumn(out_col, F.lit("")).schema)
 
