@@ -25,10 +25,8 @@ def adjacency(g: Graph) -> DataFrame:
 def summary(g: Graph) -> DataFrame:
     """One row of counts: nodes, bases, edges, paths, steps, least and largest live node id (null if none)."""
     nodes = g.nodes.agg(F.count("*").alias("node_count"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("bigint").alias("total_length"), F.min("node_id").alias("min_node_id"), F.max("node_id").alias("max_node_id"))
-    out = nodes
-    for name, table in (("edge_count", g.edges), ("path_count", g.paths), ("step_count", g.steps)):
-        out = out.crossJoin(table.agg(F.count("*").alias(name)))  # one row each
-    return out
+    counts = (("edge_count", g.edges), ("path_count", g.paths), ("step_count", g.steps))
+    return nodes.select("*", *[t.agg(F.count("*")).scalar().alias(name) for name, t in counts])
 
 
 def has_node(g: Graph, ids: DataFrame, col: str = "node_id") -> DataFrame:
