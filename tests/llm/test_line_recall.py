@@ -1,0 +1,49 @@
+"""Line dedup against plain edit similarity: no link may be missed that all pairs of lines would give."""
+
+from pyspark.sql import functions as F
+
+from strandlake.llm import line_dedup as ld
+
+D = "/root/testdata/sf0.001"
+
+
+def groups(edges):
+    comp = {}
+
+    def root(x):
+        while comp.setdefault(x, x) != x:
+            x = comp[x]
+        return x
+
+    for u, v in edges:
+        comp[root(u)] = root(v)
+    return {x: root(x) for x in list(comp)}
+
+
+def similar(lines):
+    """All pairs of ``lines`` (h, norm) with the edit similarity of a link."""
+    a, b = lines.toDF("u", "a"), lines.toDF("v", "b")
+    longer = F.greatest(F.length("a"), F.length("b"))
+    p = a.repartition(16).join(F.broadcast(b), (F.col("u") < F.col("v")) & (F.abs(F.length("a") - F.length("b")) <= F.floor(longer * 0.2 + 1e-9)))
+    return {(r["u"], r["v"]) for r in p.where("levenshtein(a, b, cast(floor(greatest(length(a), length(b)) * 0.2D + 1e-9D) as int)) >= 0").select("u", "v").collect()}
+
+
+def test_every_similar_line_is_removed(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text")
+    norm = ld._exploded(docs, "doc_id", "text").select(F.concat_ws(" ", "w").alias("norm"))
+    lines = norm.select(F.xxhash64("norm").alias("h"), "norm")
+    want = similar(lines.distinct())
+    group = groups(want)
+    assert len(want) > 40
+    nodes = len({group.get(r["h"], r["h"]) for r in lines.collect()})
+    row = ld.dedup_lines(docs).agg(F.sum("n_lines"), F.sum("n_removed")).first()
+    assert row[1] == row[0] - nodes
+
+
+def test_short_and_unspaced_lines_meet(spark):
+    texts = ["la ra", "la ja", "eding in", "eding enin", "abcdefghij", "bcdefghijk", "日本語の文章がここに一行あります", "日本語の文章がここに二行あります", "cat", "cab"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    h = [r["h"] for r in df.select(F.xxhash64("text").alias("h")).orderBy("doc_id").collect()]
+    found = {tuple(r) for r in ld.run_pairs(df).collect()}
+    want = similar(df.select(F.xxhash64("text"), "text"))
+    assert want == {tuple(sorted((h[i], h[i + 1]))) for i in (0, 2, 4, 6)} and want <= found
