@@ -7,6 +7,7 @@ are one process there.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -52,6 +53,60 @@ class Table:
         drop_path(self.spark, self.path)
 
 
+#: Paths that lazy results still read; they are deleted when the session's process ends.
+_HELD: list[tuple[SparkSession, str]] = []
+
+
+def hold(spark: SparkSession, path: str) -> None:
+    """Keep ``path`` for results that are read later, until the process ends."""
+    if not _HELD:
+        atexit.register(_release)
+    _HELD.append((spark, path))
+
+
+def _release() -> None:
+    while _HELD:
+        spark, path = _HELD.pop()
+        try:
+            drop_path(spark, path)
+        except Exception:  # noqa: BLE001 - the session has gone, and its folder may have, too
+            return
+
+
+class Scope:
+    """Scratch tables that go together: at the end of a ``with`` block all but those kept are deleted.
+
+    A kept table is what a lazy result reads; it stays until the process ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def table(self, df: DataFrame, tag: str = "step") -> DataFrame:
+        made = Table(df, tag)
+        self.tables.append(made)
+        return made.df
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` itself, which must be one of this scope's tables, to be read after the end."""
+        for t in self.tables:
+            if t.df is df:
+                self.tables.remove(t)
+                hold(self.spark, t.path)
+                return df
+        raise ValueError("not a table of this scope")
+
+    def __enter__(self) -> Scope:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for t in self.tables:
+            t.drop()
+        self.tables = []
+
+
 def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
-    """Write ``df`` once and read it back, so that later plans start from the files."""
-    return Table(df, tag).df
+    """Write ``df`` once and read it back, so that later plans start from the files; the table stays until the process ends."""
+    made = Table(df, tag)
+    hold(made.spark, made.path)
+    return made.df
