@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +37,37 @@ def chunks(lengths: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 def utf8(column: pa.Array) -> list:
     """The texts as bytes (None for null), without decoding."""
     return column.cast(pa.binary()).to_pylist()
+
+
+def slices(batches: Iterator[pa.RecordBatch], text_column: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about ``limit`` bytes of text, so that little is decoded at once."""
+    for b in batches:
+        n = pc.fill_null(pc.binary_length(b.column(text_column)), 0).to_pylist()
+        for i, j in chunks(n, limit):
+            yield b.slice(i, j - i)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Column names like ``names`` that none of ``columns`` has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(columns: list[str], *names: str) -> list[str]:
+    """The columns but those of the names ``names``, whatever the case: what passes beside a result's own columns."""
+    own = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in own]
+
+
+def with_text(df: DataFrame, text_col: str) -> tuple[DataFrame, int]:
+    """``df`` and the place of its text as a string: the column itself, or else a cast copy at the end."""
+    if dict(df.dtypes)[text_col] == "string":
+        return df, df.columns.index(text_col)
+    (own,) = fresh(df.columns, "_text")
+    return df.withColumn(own, F.col(text_col).cast("string")), len(df.columns)

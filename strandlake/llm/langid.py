@@ -10,8 +10,9 @@ with numpy over many texts at once and the rows of the matrix are added up by te
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is
 every text if nothing was learned.  Equal scores go to the language that sorts first.
-Repeated rows get equal results; a null id counts as the empty text where ids are hashed;
-further columns of the input are ignored.
+Repeated rows get equal results; a null id counts as the empty text where ids are hashed.
+Further columns pass, whatever their names; the result's ``lang_pred`` and ``score`` take the
+place of input columns of those names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import chunks, crc_mod, documents
+from strandlake.llm.common import chunks, crc_mod, documents, without, slices, with_text
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -42,7 +43,7 @@ _MUL = np.uint32(0x9E3779B1)
 def grams(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all n-grams of the texts, the text that each belongs to, and texts with a letter."""
     clean = [_OTHER.sub(" ", t.lower()) for t in texts]
-    has = np.array([c.strip() != "" for c in clean], bool)
+    has = np.array([_LETTER.search(c) is not None for c in clean], bool)
     sizes = np.array([len(c) + 3 for c in clean], np.int64)
     code = np.frombuffer("".join([f" {c} \n" for c in clean]).encode("utf-32-le", "surrogatepass"), np.uint32)
     row = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
@@ -65,7 +66,7 @@ def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         rows: dict[str, int] = {}
-        for b in batches:
+        for b in slices(batches, 1):
             lang, text = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in chunks([len(t) for t in text], CHUNK_CHARS):
                 cell, row, _ = grams(text[i:j], buckets)
@@ -130,19 +131,34 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", *, bu
     return Model(langs, prior, table.astype(np.float32))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the posterior of that language."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", *, min_score: float | None = None) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``, the posterior of that language.
+
+    With ``min_score``, ``docs`` as they are, without the rows whose score isn't over it.
+    """
+    return _scored(docs, model, docs.columns, text_col, min_score)
+
+
+def _scored(docs: DataFrame, model: Model, keep: list[str], text_col: str, min_score: float | None = None) -> DataFrame:
+    """The columns ``keep`` and the prediction; a batch is cut into slices of ``CHUNK_BYTES`` of text."""
+    new = () if min_score is not None else ("lang_pred", "score")
+    keep = without(keep, *new)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    cols = docs.columns
+    d, at = with_text(docs, text_col)
+    own = [d.columns.index(c) for c in keep]
+    found = d.select(*keep)
+    kind = found.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema if new else found.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = shared.value.score([t or "" for t in b.column(len(cols)).to_pylist()])
-            lang, score = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*cols, "lang_pred", "score"])
+        for b in slices(batches, at):
+            lang, score = zip(*shared.value.score([t or "" for t in b.column(at).to_pylist()]))
+            kept = b.select(own)
+            if new:
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, *new])
+            else:
+                yield kept.filter(pa.array([s > min_score for s in score], pa.bool_()))
 
-    schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return docs.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return d.mapInArrow(run, kind)
 
 
 def training_rows(id_col: str = "doc_id") -> Column:
@@ -153,20 +169,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs.where(training_rows()))
     held = docs.select("doc_id", (~training_rows()).alias("held_out"), "text")
-    return _narrow(held, model)
-
-
-def _narrow(held: DataFrame, model: Model) -> DataFrame:
-    """Predictions without carrying the text back."""
-    shared = held.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = shared.value.score([t or "" for t in b.column(2).to_pylist()])
-            lang, score = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-
-    return held.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return _scored(held, model, ["doc_id", "held_out"], "text")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, *, min_score: float = 0.5) -> DataFrame:
@@ -175,4 +178,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, *, min_score: float
     The model is learned from the stage's own labelled rows, as in the query.
     """
     model = train(docs.where(training_rows()))
-    return predict(docs, model).where(F.col("score") > min_score).drop("lang_pred", "score")
+    return predict(docs, model, min_score=min_score)
