@@ -12,12 +12,19 @@ below the bound is done with.  Verification: the segment is aligned with the tex
 band, within the band's diagonals, and the least number of edits is taken.
 
 Only the benchmark's index is broadcast.  Items are taken in blocks of at most
-``MAX_BLOCK_CHARS`` characters, one pass over the documents for each, so that the index
-has a size bound whatever the benchmark's; the documents are never shuffled.
+``MAX_BLOCK_CHARS`` characters (or of one item), one pass over the documents for each, so that the index
+has a size bound whatever the benchmark's; the documents are never shuffled.  Equal segments of
+all items are one, and places that share a q-gram are counted in parts of ``MAX_SHARED``, so that
+a q-gram that is frequent in text and item alike takes time but no memory.
+
+A passage of an item is found for certain if it is verbatim and has SEGMENT + STRIDE - 1 (119)
+characters of the normal form, or is a whole item of ``MIN_CHARS`` (30) to 80.  Items of 12 (Q) to 29
+characters are looked for whole, without edits and as whole words; shorter ones are no evidence.
 
 Defined results: a null or empty text leaks nothing; null items and items whose normal form
-is under ``MIN_CHARS`` characters are no evidence and are skipped; repeated items are
-reported each by its own id, repeated documents each by its own row; other columns pass.
+is under Q characters are skipped; repeated items are
+reported each by its own id, repeated documents each by its own row; other columns pass, whatever
+their names, and ``leaks`` takes the place of an input column of that name.
 """
 
 from __future__ import annotations
@@ -29,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import chunks, documents
+from strandlake.llm.common import chunks, documents, fresh, slices, with_text, without
 
 Q, SEGMENT, STRIDE, EDIT_SPAN, MIN_CHARS = 12, 80, 40, 16, 30
-MAX_BLOCK_CHARS = 4_000_000
+MAX_BLOCK_CHARS, MAX_BLOCKS = 4_000_000, 1 << 20
 CHUNK_CHARS = 1 << 19
+#: Shared places that are looked at at once (of one place in the text, all at least).
+MAX_SHARED = 1 << 20
 FILTER_BITS = 22
 LEAK = "array<struct<item_id:bigint,begin:bigint,end:bigint,edits:int>>"
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -87,23 +96,25 @@ def align(segment: str, window: str, low: int, high: int) -> tuple[int, int]:
 
 
 class Index:
-    """Segments of a block of items with the places of their q-grams."""
+    """Segments of a block of items with the places of their q-grams; equal segments are one."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.segments: list[str] = []
-        owner = []
+        owners: dict[str, dict[int, None]] = {}
+        whole: set[str] = set()
         for item, text in items:
             t = normal(text)
-            if len(t) < MIN_CHARS:
+            if len(t) < Q:
                 continue
             starts = list(range(0, max(1, len(t) - SEGMENT + 1), STRIDE))
             if starts[-1] + SEGMENT < len(t):
                 starts.append(len(t) - SEGMENT)
             for s in starts:
-                self.segments.append(t[s : s + SEGMENT])
-                owner.append(item)
-        self.owner = np.array(owner, np.int64)
-        self.edits = np.array([edits_allowed(len(s)) for s in self.segments], np.int64)
+                owners.setdefault(t[s : s + SEGMENT], {})[item] = None
+            if len(t) < MIN_CHARS:
+                whole.add(t)
+        self.segments, self.owners = list(owners), [list(x) for x in owners.values()]
+        self.whole = np.array([s in whole for s in self.segments], bool)
+        self.edits = np.array([0 if w else edits_allowed(len(s)) for s, w in zip(self.segments, self.whole)], np.int64)
         self.need = np.array([len(s) - Q + 1 for s in self.segments], np.int64) - Q * self.edits
         per = [qgrams(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)) for s in self.segments]
         sizes = [len(p) for p in per]
@@ -132,60 +143,94 @@ class Index:
         left, right = np.searchsorted(self.h, h[at]), np.searchsorted(self.h, h[at], "right")
         n = right - left
         at, left, n = at[n > 0], left[n > 0], n[n > 0]
-        if len(at):
-            where = np.repeat(at, n)
-            cell = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            seg, diagonal = self.seg[cell], where - self.pos[cell]
-            half = self.edits[seg] + 1
-            starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-            doc = np.searchsorted(starts, where, "right") - 1
-            band = np.concatenate([diagonal // half, diagonal // half - 1])
-            key = np.stack([np.tile(doc, 2), np.tile(seg, 2), band])
-            cells, shared = np.unique(key, axis=1, return_counts=True)
-            for d, s, b in cells[:, shared >= self.need[cells[1]]].T.tolist():
-                self._verify(texts[d], int(starts[d]), s, b, found[d])
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        # a q-gram that is frequent on both sides makes many shared places: they are counted in parts of bounded size
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in chunks(n.tolist(), MAX_SHARED):
+            parts.append(self._shared(starts, at[a:b], left[a:b], n[a:b]))
+            if len(parts) > 8:
+                parts = [_counted(*map(np.concatenate, zip(*parts)))]
+        if parts:
+            for d, s, band in self._cells(*_counted(*map(np.concatenate, zip(*parts))), int(starts[-1])):
+                self._verify(texts[d], int(starts[d]), s, band, found[d])
         return [[{"item_id": k, "begin": v[1], "end": v[2], "edits": v[0]} for k, v in sorted(f.items())] for f in found]
 
+    def _shared(self, starts: np.ndarray, at: np.ndarray, left: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of shared q-grams by text, segment and band, as one key."""
+        where = np.repeat(at, n)
+        cell = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        seg, diagonal = self.seg[cell], where - self.pos[cell]
+        doc = np.searchsorted(starts, where, "right") - 1
+        key = (doc * len(self.segments) + seg) * (int(starts[-1]) + 2 * SEGMENT) + diagonal // (self.edits[seg] + 1) + SEGMENT
+        return _counted(np.concatenate([key, key - 1]), None)
+
+    def _cells(self, key: np.ndarray, shared: np.ndarray, chars: int) -> list[tuple[int, int, int]]:
+        """Text, segment and band wherever the bound is met."""
+        wide = chars + 2 * SEGMENT
+        seg = key // wide % len(self.segments)
+        on = shared >= self.need[seg]
+        key, seg = key[on], seg[on]
+        return list(zip((key // wide // len(self.segments)).tolist(), seg.tolist(), (key % wide - SEGMENT).tolist()))
+
     def _verify(self, text: str, start: int, s: int, band: int, found: dict) -> None:
-        segment, e, item = self.segments[s], int(self.edits[s]), int(self.owner[s])
+        segment, e = self.segments[s], int(self.edits[s])
         low = band * (e + 1) - start
         begin = max(0, low - e)
         stop = min(len(text), low + 2 * (e + 1) + len(segment) + e)
         edits, end = align(segment, text[begin:stop], low - e - begin, low + 2 * (e + 1) - 1 + e - begin)
         if edits <= e:
             end += begin
-            old = found.get(item)
-            mine = (edits, max(0, end - len(segment)), end)
-            found[item] = mine if old is None else (min(old[0], edits), min(old[1], mine[1]), max(old[2], end))
+            first = max(0, end - len(segment))
+            if self.whole[s] and (text[first - 1 : first].strip() or text[end : end + 1].strip()):
+                return  # a short item counts as words of their own only
+            for item in self.owners[s]:
+                old = found.get(item)
+                found[item] = (edits, first, end) if old is None else (min(old[0], edits), min(old[1], first), max(old[2], end))
+
+
+def _counted(key: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, in order, with their sums."""
+    if n is None:
+        return np.unique(key, return_counts=True)
+    own, back = np.unique(key, return_inverse=True)
+    return own, np.bincount(back, n, minlength=len(own)).astype(np.int64)
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, max_chars: int) -> Iterator[Index]:
-    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null and item_id is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-2 * chars // max_chars)) if chars > max_chars else 1
+    """Indexes of blocks of distinct items, of at most ``max_chars`` characters or one item each."""
+    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null and item_id is not null").distinct()
+    n = 1
+    while True:
+        block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("block")
+        sizes = items.groupBy(block).agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("items")).where((F.col("items") > 1) & (F.col("chars") > max_chars))
+        if n >= MAX_BLOCKS or sizes.isEmpty():
+            break
+        n *= 2
     for k in range(n):
-        own = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        own = items.where(block.eqNullSafe(k)) if n > 1 else items
         yield Index(sorted(map(tuple, own.collect())))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_block_chars: int = MAX_BLOCK_CHARS) -> DataFrame:
     """``docs`` with ``leaks``: for every item found in it, its id, the part of the normal form, least edits."""
-    cols = docs.columns
-    out = docs.withColumn("leaks", F.array().cast(LEAK)).withColumn("_text", F.col(text_col).cast("string"))
+    cols = without(docs.columns, "leaks")
+    d, at = with_text(docs, text_col)
+    extra = d.columns[len(docs.columns) :]  # a cast copy of the text, if that is no string
+    (leaks,) = fresh(d.columns, "_leaks")
+    out = d.withColumn(leaks, F.array().cast(LEAK))
     schema = out.schema
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
     for index in _blocks(benchmark, item_id, item_text, max_block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                new = shared.value.leaks(b.column(len(cols) + 1).to_pylist())
-                old = b.column(len(cols)).to_pylist()
-                both = pa.array([x + y for x, y in zip(old, new)], kind)
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], both, b.column(len(cols) + 1)], names=[*cols, "leaks", "_text"])
+            for b in slices(batches, at):
+                new = shared.value.leaks(b.column(at).to_pylist())
+                both = pa.array([x + y for x, y in zip(b.column(len(b.columns) - 1).to_pylist(), new)], kind)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], both], names=b.schema.names)
 
         out = out.mapInArrow(run, schema)
-    return out.drop("_text")
+    return out.drop(*extra).select(*[F.col(f"`{c}`") for c in cols], F.col(leaks).alias("leaks"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,5 +241,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that leak a benchmark item go."""
-    marked = mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return marked.where(F.size("leaks") == 0).drop("leaks")
+    own = [c for c in docs.columns if c.lower() == "leaks"]
+    moved = dict(zip(own, fresh(docs.columns, *[f"_{c}" for c in own])))
+    marked = mark(docs.withColumnsRenamed(moved), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return marked.where(F.size("leaks") == 0).drop("leaks").withColumnsRenamed({b: a for a, b in moved.items()}).select(*docs.columns)

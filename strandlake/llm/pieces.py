@@ -34,11 +34,12 @@ from math import exp, expm1, log, log1p
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import chunks, documents
+from strandlake.llm.common import chunks, documents, fresh, slices, with_text, without
 
 K = 2
 SEED = 20240601
@@ -394,42 +395,59 @@ def row_keys(values: list, seed: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest("" if v is None else str(v), seed) for v in values], np.uint64)
 
 
-def _batches(model: str, k: int, seed: int, keys: pa.Array, texts: pa.Array) -> Iterator[tuple[int, int, list[list[dict]]]]:
-    lat = Lattices.of(model)
-    text = [t or "" for t in texts.to_pylist()]
+def _encoded(lat: Lattices, k: int, seed: int, keys: pa.Array, texts: pa.Array) -> Iterator[tuple[int, int, list[str], list[list[dict]]]]:
+    """Ranges of rows with their texts and samples, of about ``CHUNK_CHARS`` characters each."""
     key = row_keys(keys.to_pylist(), seed)
-    for i, j in chunks([len(t) for t in text], CHUNK_CHARS):
-        yield i, j, encode_texts(lat, text[i:j], key[i:j], k)
+    n = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+    for i, j in chunks(n, CHUNK_CHARS):
+        text = [t or "" for t in texts.slice(i, j - i).to_pylist()]
+        yield i, j, text, encode_texts(lat, text, key[i:j], k)
+
+
+def _samples(found: list[list[dict]], kind: pa.DataType) -> pa.Array:
+    """The samples as an Arrow column, without a Python number for every piece."""
+    flat = [x for own in found for x in own]
+    ids = [x["ids"] for x in flat]
+    ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
+    values = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)))]
+    values += [pa.array([x[c] for x in flat], pa.float64()) for c in ("log_prob", "perturbed", "log_inclusion")]
+    rows = pa.StructArray.from_arrays(values, fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in found]).astype(np.int32)), rows).cast(kind)
 
 
 def encode(docs: DataFrame, model: str, *, k: int = K, seed: int = SEED, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``samples``: up to k segmentations with their scores."""
-    cols = docs.columns
-    d = docs.withColumns({"_key": F.col(key_col).cast("string"), "_text": F.col(text_col).cast("string")})
+    cols = without(docs.columns, "samples")
+    d, at = with_text(docs, text_col)
+    (own,) = fresh(d.columns, "_key")
+    d = d.withColumn(own, F.col(key_col).cast("string"))
+    place = [d.columns.index(c) for c in cols]
     kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, found in _batches(model, k, seed, b.column(len(cols)), b.column(len(cols) + 1)):
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns[: len(cols)]), pa.array(found, kind)], names=[*cols, "samples"])
+        lat = Lattices.of(model)
+        for b in slices(batches, at):
+            for i, j, _, found in _encoded(lat, k, seed, b.column(len(b.columns) - 1), b.column(at)):
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.select(place).columns), _samples(found, kind)], names=[*cols, "samples"])
 
-    return d.mapInArrow(run, docs.withColumn("samples", F.lit(None).cast(SAMPLES)).schema)
+    return d.mapInArrow(run, docs.select(*cols).withColumn("samples", F.lit(None).cast(SAMPLES)).schema)
 
 
 def decode(df: DataFrame, model: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
-    """``df`` with the text of its ids; null ids give a null text."""
-    cols = df.columns
-    d = df.withColumn("_ids", F.col(ids_col))
+    """``df`` with the text of its ids in ``out_col``, in place of a column of that name; null ids give a null text."""
+    cols = without(df.columns, out_col)
+    place, at = [df.columns.index(c) for c in cols], df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = Lattices.of(model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):  # the ids as Python numbers take many times their size
-                b = whole.slice(at, 128)
-                text = [None if x is None else decode_ids(lat, x).decode("utf-8", "replace") for x in b.column(len(cols)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(text, pa.string())], names=[*cols, out_col])
+            n = pc.fill_null(pc.list_value_length(whole.column(at)), 0).to_pylist()
+            for i, j in chunks(n, CHUNK_CHARS):  # the ids as Python numbers take many times their size
+                b = whole.slice(i, j - i)
+                text = [None if x is None else decode_ids(lat, x).decode("utf-8", "replace") for x in b.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.select(place).columns, pa.array(text, pa.string())], names=[*cols, out_col])
 
-    return d.mapInArrow(run, df.withColumn(out_col, F.lit("")).schema)
+    return df.mapInArrow(run, df.select(*cols).withColumn(out_col, F.lit("")).schema)
 
 
 def _digests(model: str, k: int, seed: int):
@@ -437,12 +455,11 @@ def _digests(model: str, k: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = Lattices.of(model)
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            for i, j, found in _batches(model, k, seed, b.column(1), b.column(2)):
+        for b in slices(batches, 2):
+            for i, _, texts, found in _encoded(lat, k, seed, b.column(1), b.column(2)):
                 rows = []
-                for d, samples in enumerate(found, i):
-                    raw = (texts[d] or "").encode()
+                for d, (text, samples) in enumerate(zip(texts, found), i):
+                    raw = text.encode()
                     for s, x in enumerate(samples):
                         ids = x["ids"]
                         rows.append((b.column(0)[d].as_py(), s, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), x["log_prob"], x["perturbed"], x["log_inclusion"], decode_ids(lat, ids.tolist()) == raw))
@@ -458,10 +475,27 @@ def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.mapInArrow(_digests(default_model(), K, SEED), "doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, round_trip boolean")
 
 
+def _checked(model: str, seed: int):
+    """The samples of every document with the ids decoded again, in one pass: no text leaves the worker."""
+    kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lat = Lattices.of(model)
+        for b in slices(batches, 2):
+            for i, j, texts, found in _encoded(lat, K, seed, b.column(1), b.column(2)):
+                same = [all(decode_ids(lat, x["ids"].tolist()) == t.encode() for x in own) for t, own in zip(texts, found)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _samples(found, kind), pa.array(same, pa.bool_())], ["doc_id", "samples", "round_trip"])
+
+    return run
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: one sampled segmentation of every document, decoded again as a check."""
-    model = default_model()
-    d = encode(docs.select("doc_id", "text"), model, k=1)
-    d = d.select("doc_id", "text", F.col("samples")[0]["ids"].alias("ids"))
-    d = decode(d, model, out_col="decoded")
-    return d.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+    """Last pipeline stage: ``K`` sampled segmentations of every document with their inclusion scores, decoded again as a check.
+
+    ``ids`` and ``n_pieces`` are those of the first sample, whose perturbed value is the largest.
+    """
+    d = docs.select("doc_id", F.col("doc_id").cast("string").alias("key"), F.col("text").cast("string").alias("text"))
+    kind = docs.select("doc_id").withColumns({"samples": F.lit(None).cast(SAMPLES), "round_trip": F.lit(True)}).schema
+    d = d.mapInArrow(_checked(default_model(), SEED), kind)
+    ids = F.col("samples")[0]["ids"]
+    return d.select("doc_id", ids.alias("ids"), F.size(ids).cast("long").alias("n_pieces"), "samples", "round_trip")

@@ -27,7 +27,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import documents
+from strandlake.llm.common import documents, fresh, without
 
 ENDINGS = ".!?…\"”»)':;"
 MIN_SEPARATORS, MAX_SYMBOLS, MAX_PHRASE_WORDS = 3, 10, 40
@@ -91,10 +91,16 @@ def repeat_words(df: DataFrame, words_col: str, out: str) -> DataFrame:
     return df.withColumn(out, F.coalesce(covered, F.lit(0)).cast("long")).drop("_h", "_s", "_around", "_at")
 
 
+#: Columns of the result; input columns of these names are replaced.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_kept_words", "clean_text", "n_repeat_words", "base_failed", "kept")
+
+
 def assess(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the counts, both verdicts and the cleaned text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.withColumn("_split", F.split(text, "\n"))
+    passed = without(docs.columns, *COUNTS)
+    # what passes travels in one struct, so that no name can clash
+    df = docs.select(F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in passed]).alias("_in"), F.split(text, "\n").alias("_split"))
     df = df.withColumn("_words", F.transform("_split", words))  # a line feed parts words, so these are the text's, too
     df = df.withColumn("_w", F.flatten("_words")).withColumn("_lines", F.filter(F.zip_with("_split", "_words", _line), lambda x: x["n_words"] > 0))
     df = df.withColumn("_good", F.filter("_lines", lambda x: ~_fails(x)))
@@ -108,12 +114,16 @@ def assess(docs: DataFrame, text_col: str = "text") -> DataFrame:
     })
     df = repeat_words(df, "_w", "n_repeat_words").drop("_split", "_words", "_w", "_lines", "_good")
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
-    return df.withColumn("kept", ~F.col("base_failed") & (100 * (F.col("n_words") - F.col("n_kept_words")) <= MAX_LOSS * F.col("n_words")))
+    df = df.withColumn("kept", ~F.col("base_failed") & (100 * (F.col("n_words") - F.col("n_kept_words")) <= MAX_LOSS * F.col("n_words")))
+    return df.select(*[F.col("_in").getField(c).alias(c) for c in passed], *COUNTS)
 
 
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that are kept, with the lines that failed removed from their text."""
-    return assess(docs, text_col).where("kept").withColumn(text_col, F.col("clean_text")).select(*docs.columns)
+    own = [c for c in docs.columns if c.lower() in COUNTS]
+    moved = dict(zip(own, fresh([*docs.columns, *COUNTS], *[f"_{c}" for c in own])))
+    found = assess(docs.withColumnsRenamed(moved), moved.get(text_col, text_col)).where("kept").withColumn(moved.get(text_col, text_col), F.col("clean_text")).drop(*COUNTS)
+    return found.withColumnsRenamed({b: a for a, b in moved.items()}).select(*docs.columns)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

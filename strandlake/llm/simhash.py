@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import documents, utf8
+from strandlake.llm.common import documents, fresh, slices, utf8
 from strandlake.operators.components import connected_components
 from strandlake.plans.scratch import materialize
 
@@ -295,26 +295,26 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (a null id) sorts last.
     """
     cols = docs.columns
-    d = docs.withColumn("_th", F.xxhash64(F.col(text_col).cast("string")))
-    prints = materialize(_keyed_prints(d, id_col, text_col), "prints")
+    th, first_id, first_h = fresh(cols, "_th", "_id", "_h")
+    d = docs.withColumn(th, F.xxhash64(F.col(text_col).cast("string")))
+    prints = materialize(_keyed_prints(d.select(F.col(id_col).cast("long").alias("_id"), F.col(th).alias("_th"), F.col(text_col).cast("string").alias("text"))), "prints")
     nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_th")).alias("first"))
     nodes = materialize(nodes, "nodes")
     comps = connected_components(link(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     named = nodes.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    first = named.groupBy("comp").agg(F.min("first").alias("first")).select(F.col("first._id").alias("_id"), F.col("first._th").alias("_h"))
+    first = named.groupBy("comp").agg(F.min("first").alias("first")).select(F.col("first._id").alias(first_id), F.col("first._th").alias(first_h))
     # one row per group comes back to the texts, by id and text hash
-    kept = d.join(first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left_semi")
-    return kept.dropDuplicates([id_col, "_th"]).select(*cols)
+    kept = d.join(first, F.col(id_col).cast("long").eqNullSafe(F.col(first_id)) & F.col(th).eqNullSafe(F.col(first_h)), "left_semi")
+    return kept.dropDuplicates([id_col, th]).select(*cols)
 
 
-def _keyed_prints(d: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed_prints(d: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             prints = [signed(fingerprint(t)) for t in utf8(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints, pa.int64())], ["_id", "_th", "fp"])
 
-    own = d.select(F.col(id_col).cast("long").alias("_id"), "_th", F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "_id long, _th long, fp long")
+    return d.mapInArrow(run, "_id long, _th long, fp long")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
