@@ -19,7 +19,7 @@ equi-joins, which adaptive execution splits for a hot host; nothing grows on the
 
 Defined results: a null or empty text has the evidence of an empty feature set; a null host or
 path is a group of its own; repeated rows count each; a document labelled twice counts as
-positive if any label is; without labels of both kinds there is no evidence and the global
+positive if any label is, and of labelled documents of one id the least text is learned from; without labels of both kinds there is no evidence and the global
 rate is one half.  Further columns are ignored.
 """
 
@@ -30,15 +30,16 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import crc_mod, documents, utf8
-from strandlake.plans.scratch import materialize
+from strandlake.llm.common import crc_mod, documents, slices, utf8
+from strandlake.plans.scratch import Scope, materialize
 
 BUCKET_BITS = 18
-MAX_LABELS = 60_000
+MAX_LABELS = 20_000
 MAX_FEATURES, MIN_Z = 512, 5.0
 TARGETS = ("quality", "toxic")
 _STRIP = b".,;:!?\"'()[]{}*#$%&|<>"
@@ -69,26 +70,11 @@ def _case(text: bytes, low: bytes, size: int) -> int:
     return min(9, int(10 * int((a != b).sum()) / size))
 
 
-def _training(labels: dict[int, tuple[int, ...]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = labels.value
-        total = np.zeros((1 << BUCKET_BITS, 1 + len(TARGETS)), np.int64)
-        rows = np.zeros(1 + len(TARGETS), np.int64)
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            for i, d in enumerate(ids):
-                own = known.get(d)
-                if own is None:
-                    continue
-                weight = np.array([1, *own])
-                total[features(b.column(1)[i].cast(pa.binary()).as_py())] += weight
-                rows += weight
-        at = np.nonzero(total[:, 0])[0]
-        out = np.concatenate([total[at], rows[None]]) if rows[0] else total[at]
-        at = np.append(at, -1) if rows[0] else at  # bucket -1 counts rows
-        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(out[:, i]) for i in range(out.shape[1]))], ["cell", "n", *TARGETS])
-
-    return run
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, 1):
+        own = [features(t).astype(np.int32) for t in utf8(b.column(1))]
+        ends = np.cumsum([0] + [len(x) for x in own]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*own, np.zeros(0, np.int32)])))], ["id", "cells"])
 
 
 class Evidence:
@@ -101,59 +87,59 @@ class Evidence:
         return self.base + self.table[features(text)].sum(axis=0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labels: int = MAX_LABELS) -> Evidence:
-    spark = docs.sparkSession
+def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labels: int = MAX_LABELS) -> DataFrame:
+    """``(id, cells, quality, toxic)`` of at most ``max_labels`` labelled documents, a row for each id.
+
+    The ids are found before any text is looked at; of documents of one id the least text counts.
+    """
     targets = [F.max(F.when(F.col(t) > 0, 1).otherwise(0)).alias(t) for t in TARGETS]
     own = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(*targets)
-    rows = own.orderBy(F.xxhash64("id"), "id").limit(max_labels).collect()  # bounded by the parameter
-    shared = spark.sparkContext.broadcast({r["id"]: tuple(r[t] for t in TARGETS) for r in rows})
+    own = own.orderBy(F.xxhash64("id"), "id").limit(max_labels)  # 16 bytes a row, and bounded by the parameter
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sums = [F.sum(c).alias(c) for c in ("n", *TARGETS)]
-    counts = materialize(d.mapInArrow(_training(shared), "cell long, n long, quality long, toxic long").groupBy("cell").agg(*sums), "features")
-    total = counts.where("cell < 0").first()
+    texts = d.join(F.broadcast(own.select("id")), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return texts.mapInArrow(_cells, "id long, cells array<int>").join(own, "id")
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labels: int = MAX_LABELS) -> Evidence:
     width = len(TARGETS)
     prior, base, table = np.zeros(width), np.zeros(width), np.zeros((1 << BUCKET_BITS, width))
-    if total is None:
-        return Evidence(prior, base, table)
-    chosen: dict[int, np.ndarray] = {}
-    for k, t in enumerate(TARGETS):
-        pos, neg = total[t], total["n"] - total[t]
-        if not pos or not neg:
-            continue
-        a, b = F.col(t) / F.lit(pos), (F.col("n") - F.col(t)) / F.lit(neg)
-        share = F.col("n") / F.lit(total["n"])
-        z = F.abs(a - b) / F.sqrt(share * (1 - share) * F.lit(1 / pos + 1 / neg) + F.lit(1e-12))
-        top = counts.where("cell >= 0").withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "cell").limit(MAX_FEATURES)
-        chosen[k] = np.array(sorted(r["cell"] for r in top.select("cell").collect()), np.int64)
-    if not chosen:
-        return Evidence(prior, base, table)
-    wanted = spark.sparkContext.broadcast(np.unique(np.concatenate(list(chosen.values()))))
-    found = d.mapInArrow(_selected(shared, wanted), "id long, cells array<long>").toArrow()  # bounded by the parameters
-    rows = sorted(zip(found.column("id").to_pylist(), found.column("cells").to_pylist()))
-    own = shared.value
-    y = np.array([own[i] for i, _ in rows], np.float64).reshape(-1, width)
-    row = np.repeat(np.arange(len(rows)), [len(c) for _, c in rows])
-    cell = np.array([x for _, c in rows for x in c], np.int64)
-    for k, cells in chosen.items():
-        at = np.searchsorted(cells, cell)
-        ok = (at < len(cells)) & (cells[np.minimum(at, max(0, len(cells) - 1))] == cell) if len(cells) else np.zeros(len(cell), bool)
-        w, start = logistic(row[ok], at[ok], len(cells), y[:, k])
+    with Scope(docs.sparkSession) as scope:
+        rows = scope.table(sample(docs, labels, id_col=id_col, text_col=text_col, max_labels=max_labels), "labelled")
+        total = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in TARGETS]).first()
+        each = rows.select(F.explode("cells").alias("cell"), *TARGETS)
+        counts = scope.table(each.groupBy("cell").agg(F.count("*").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]), "features")
+        chosen: dict[int, np.ndarray] = {}
+        for k, t in enumerate(TARGETS):
+            pos, neg = total[t], total["n"] - total[t]
+            if not pos or not neg:
+                continue
+            a, b = F.col(t) / F.lit(pos), (F.col("n") - F.col(t)) / F.lit(neg)
+            share = F.col("n") / F.lit(total["n"])
+            z = F.abs(a - b) / F.sqrt(share * (1 - share) * F.lit(1 / pos + 1 / neg) + F.lit(1e-12))
+            top = counts.withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "cell").limit(MAX_FEATURES)
+            chosen[k] = np.array(sorted(r["cell"] for r in top.select("cell").collect()), np.int64)
+        if not chosen:
+            return Evidence(prior, base, table)
+        wanted = np.unique(np.concatenate(list(chosen.values())))
+        kept = F.array_intersect("cells", F.lit(wanted.astype(np.int32)).cast("array<int>"))
+        found = rows.select("id", *TARGETS, kept.alias("cells")).toArrow().combine_chunks()  # bounded by the parameters
+    order = np.argsort(found.column("id").to_numpy(), kind="stable")
+    found = found.take(pa.array(order)).combine_chunks()
+    y = np.stack([found.column(t).to_numpy().astype(np.float64) for t in TARGETS], axis=1)
+    cells = found.column("cells").combine_chunks()
+    cells = cells.chunk(0) if isinstance(cells, pa.ChunkedArray) else cells
+    row = np.repeat(np.arange(len(y)), pc.list_value_length(cells).to_numpy(zero_copy_only=False))
+    cell = cells.flatten().to_numpy().astype(np.int64)
+    for k, own in chosen.items():
+        at = np.searchsorted(own, cell)
+        ok = (at < len(own)) & (own[np.minimum(at, max(0, len(own) - 1))] == cell) if len(own) else np.zeros(len(cell), bool)
+        w, start = logistic(row[ok], at[ok], len(own), y[:, k])
         prior[k] = np.log(y[:, k].sum() / (len(y) - y[:, k].sum()))
         base[k] = start - prior[k]
-        table[cells, k] = w
+        table[own, k] = w
     return Evidence(prior, base, table)
 
 
-def _selected(labels, wanted):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = [i for i, d in enumerate(b.column(0).to_pylist()) if d in labels.value]
-            cells = [np.intersect1d(features(b.column(1)[i].cast(pa.binary()).as_py()), wanted.value) for i in at]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(cells, pa.list_(pa.int64()))], ["id", "cells"])
-
-    return run
-
-
 def logistic(row: np.ndarray, feature: np.ndarray, n: int, y: np.ndarray, *, ridge: float = 1e-5, rounds: int = 400, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic regression on 0/1 features, by Adam on the whole sample."""
     w, b = np.zeros(n), float(np.log(max(y.sum(), 0.5) / max(len(y) - y.sum(), 0.5)))
@@ -169,7 +155,7 @@ def logistic(row: np.ndarray, feature: np.ndarray, n: int, y: np.ndarray, *, rid
 
 def _evidence(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 3):
             found = np.array([shared.value.of(t) for t in utf8(b.column(3))]).reshape(-1, len(TARGETS))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(found[:, i]) for i in range(len(TARGETS)))], ["doc_id", "host", "path", "e_quality", "e_toxic"])
 
