@@ -9,8 +9,8 @@ documents.  The ``HEAD`` most frequent tokens are broadcast, a fixed number of r
 tokens of a document meet their counts in a shuffled equi-join, and the parts are added up
 by document.
 
-The model: all unigrams, and all pairs of neighbouring tokens that occur ``least`` times in
-training.  Pairs are counted per chunk of text, sent packed to the bucket of their hash, and added
+The model: all unigrams, and all pairs of neighbouring tokens in training (a caller may leave out
+those under ``least`` times).  Pairs are counted per chunk of text, sent packed to the bucket of their hash, and added
 up there, bucket by bucket, so that a frequent word's pairs are spread over all buckets.
 A count c is quantised to
 1 + floor(log2 c) levels, and the filter holds (n-gram, 1) ... (n-gram, level), as in a
@@ -52,15 +52,19 @@ from strandlake.plans.scratch import Scope, hold, materialize, scratch_path
 
 END = xxhash.xxh64_intdigest(b"\n", 0)
 HEAD = 1 << 17
-LEAST = 2
+LEAST = 1
 SEGMENT_BITS = 22
 BITS_PER_KEY, PROBES = 16, 7
 FALSE_POSITIVES = (1 - np.exp(-PROBES / BITS_PER_KEY)) ** PROBES  # 0.0007
 PRIOR = 4.0
 #: Pairs of a bucket, about; a bucket is added up at once.
 BUCKET_PAIRS = 2_000_000
+#: N-grams that are packed by segment at once.
+PACKED_ROWS = 500_000
 CHUNK_BYTES = 2 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: An n-gram and its level.
+_GRAM = np.dtype([("h", "<u8"), ("k", "u1")])
 
 
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +167,8 @@ class LogFrequencyFilter:
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """The level of every n-gram: the number of levels present in a row."""
         out = np.zeros(len(h), np.int64)
-        at, base = np.arange(len(h)), self.segment(h) << self.bits
+        base = self.segment(h) << self.bits
+        at = np.argsort(base)  # segment by segment, as the whole filter is larger than the caches
         k = 0
         while len(at):
             k += 1
@@ -199,6 +204,16 @@ def _total_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(c))], ["h", "c"])
 
 
+def _by_bucket(bucket: np.ndarray, own: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """A row for every bucket: its number, and its records of ``own`` packed."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, own = bucket[order], own[order]
+    cut = np.nonzero(np.append(True, bucket[1:] != bucket[:-1]))[0] if len(bucket) else np.zeros(0, np.int64)
+    offsets = np.append(cut, len(own)).astype(np.int64) * own.dtype.itemsize
+    blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(own.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), blobs.cast(pa.binary())], names)
+
+
 def _pair_blobs(buckets: int):
     """Rows of a bucket number and its pairs of a chunk of text, packed: hash, token before and count of each."""
     kind = np.dtype([("h", "<u8"), ("v", "<u8"), ("n", "<u4")])
@@ -210,13 +225,7 @@ def _pair_blobs(buckets: int):
             own = np.empty(len(h), kind)
             own["h"], own["n"] = h, n
             own["v"] = before(tok, ends)[first]
-            bucket = (h >> np.uint64(20)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
-            bucket, own = bucket[order], own[order]
-            cut = np.nonzero(np.append(True, bucket[1:] != bucket[:-1]))[0] if len(bucket) else np.zeros(0, np.int64)
-            offsets = np.append(cut, len(own)).astype(np.int64) * kind.itemsize
-            blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(own.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), blobs.cast(pa.binary())], ["bucket", "pairs"])
+            yield _by_bucket((h >> np.uint64(20)).astype(np.int64) % buckets, own, ["bucket", "pairs"])
 
     return run
 
@@ -259,14 +268,37 @@ def pair_counts(train: DataFrame, n_tokens: int, text_col: str = "text", *, leas
     return blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_add_up(least), "kind int, h long, c long")
 
 
+def _grams(shape: LogFrequencyFilter):
+    """Rows of a segment and its n-grams of many rows ``(h, c)``, packed: hash and level of each."""
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, c = (np.concatenate(x) for x in zip(*held))
+        own = np.empty(len(h), _GRAM)
+        own["h"], own["k"] = h, levels(c)
+        return _by_bucket(shape.segment(own["h"]), own, ["seg", "grams"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            held.append((b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()))
+            rows += b.num_rows
+            if rows >= PACKED_ROWS:
+                yield packed(held)
+                held, rows = [], 0
+        if held:
+            yield packed(held)
+
+    return run
+
+
 def _build(shape: LogFrequencyFilter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
         for b in batches:
-            seg, h, c = (x.to_numpy() for x in b.columns)
-            for s in np.unique(seg).tolist():
+            for s, blob in zip(b.column(0).to_pylist(), b.column(1)):
                 bits = own.setdefault(s, np.zeros(1 << (shape.bits - 3), np.uint8))
-                shape.fill(h[seg == s].view(np.uint64), levels(c[seg == s]), bits)
+                grams = np.frombuffer(blob.as_buffer(), _GRAM)
+                shape.fill(grams["h"], grams["k"], bits)
         for s, bits in own.items():
             yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([bits.tobytes()])], ["seg", "bits"])
 
@@ -293,16 +325,8 @@ def build_filter(entries: DataFrame) -> LogFrequencyFilter:
     bits = min(SEGMENT_BITS, max(10, int(need - 1).bit_length()))
     out = LogFrequencyFilter(0, bits)
     shape = LogFrequencyFilter(0, bits)
-    out.segments = n_seg = -(-need // (1 << bits))
-
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = LogFrequencyFilter(0, bits)
-        own.segments = n_seg
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(own.segment(b.column(0).to_numpy().view(np.uint64))), *b.columns], ["seg", "h", "c"])
-
-    kept = entries.select("h", "c").mapInArrow(segments, "seg long, h long, c long")
-    built = kept.repartition("seg").mapInArrow(_build(shape), "seg long, bits binary")
+    out.segments = shape.segments = n_seg = -(-need // (1 << bits))
+    built = entries.select("h", "c").mapInArrow(_grams(shape), "seg long, grams binary").repartition("seg").mapInArrow(_build(shape), "seg long, bits binary")
     where = urlparse(scratch_path(entries.sparkSession, "filter"))
     if where.scheme in ("", "file"):
         path = unquote(where.path)
@@ -345,7 +369,8 @@ class Model:
         q, s = VALUE[self.grams.lookup(own)], self.grams.totals(own)
         at, behind = back[:-1], np.concatenate([back[-1:], back[:-2]])
         behind[ends[:-1]] = back[-1]
-        seen = np.minimum(VALUE[self.grams.lookup(pairs(tok, ends))], np.minimum(q[at], q[behind]))  # a pair is no more frequent than its tokens
+        two, place = np.unique(pairs(tok, ends), return_inverse=True)
+        seen = np.minimum(VALUE[self.grams.lookup(two)][place], np.minimum(q[at], q[behind]))  # a pair is no more frequent than its tokens
         rest = np.maximum(q - s, 0.0) + PRIOR
         return np.log10((seen + rest[behind] * self.unigram(q[at])) / (s[behind] + rest[behind]))
 
@@ -363,9 +388,9 @@ def fit(train: DataFrame, text_col: str = "text", *, head: int = HEAD, least: in
         top_h, top_c = (top.column(x).to_numpy() for x in ("h", "c"))
         order = np.argsort(top_h.view(np.uint64))
         two = scope.table(pair_counts(train, n, text_col, least=least), "pairs")
-        totals = two.where("kind = 1").groupBy("h").agg(F.sum("c").alias("s")).mapInArrow(_total_entries, "h long, c long")
+        totals = scope.table(two.where("kind = 1").groupBy("h").agg(F.sum("c").alias("s")).mapInArrow(_total_entries, "h long, c long"), "totals")
         entries = counts.select("h", "c").unionByName(two.where("kind = 0").select("h", "c")).unionByName(totals)
-        grams = build_filter(scope.table(entries, "ngrams"))
+        grams = build_filter(entries)
     return Model(grams, top_h[order].view(np.uint64), top_c[order], int(n), int(v), quantised), counts
 
 
