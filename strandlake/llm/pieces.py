@@ -80,6 +80,16 @@ def log_inclusion(log_prob: float, kappa: float) -> float:
     return x if x < -30 else log(-expm1(-exp(x)))
 
 
+def _put(held: np.ndarray, n: int, new: np.ndarray, rest: float = 0) -> np.ndarray:
+    """``held`` with ``new`` after its first ``n`` values; a longer array, with ``rest`` at its end, if that has no room."""
+    if n + len(new) > len(held):
+        longer = np.full(max(n + n // 2, n + len(new)), rest, held.dtype)
+        longer[:n] = held[:n]
+        held = longer
+    held[n : n + len(new)] = new
+    return held
+
+
 class Lattices:
     """Lattices of words in flat arrays: nodes in order, each with a run of edges."""
 
@@ -110,6 +120,10 @@ class Lattices:
         if len(self.byte_id) < 256:
             raise ValueError("the vocabulary has no byte pieces")
         self.byte_weight = -log(1.0 + rank)
+        #: The bytes of all pieces, one after the other, where each begins and how many it has.
+        self.flat = np.frombuffer(b"".join(self.piece_bytes), np.uint8)
+        self.flat_n = np.array([len(p) for p in self.piece_bytes], np.int64)
+        self.flat_at = np.cumsum(self.flat_n) - self.flat_n
         self.prefixes = {t[:j] for t in self.vocab for j in range(1, len(t) + 1)}
         self.joined = np.zeros((SMALL, SMALL), bool)
         for t in self.vocab:
@@ -127,7 +141,7 @@ class Lattices:
 
     def clear(self) -> None:
         self.word: dict[str, int] = {}
-        self.nodes = 0
+        self.nodes = self.n_edges = self.n_pieces = 0  # the arrays have room for more
         self.first = np.zeros(0, np.int32)  # of nodes: their first edge
         #: of edges: end of its share (node number + cumulated probability), node it leads to (-1: end),
         #: log-probability, mass of the node's other edges, and its pieces as a run of ``ids``.
@@ -253,12 +267,15 @@ class Lattices:
         for k, r in zip(where[bytes_at].tolist(), runs):
             ids[k : k + len(r)] = [self.byte_id[b] for b in r]
         self.word.update(zip(words, (begin + self.nodes).tolist()))
-        self.first = np.append(self.first, (first + len(self.cdf)).astype(np.int32))
-        self.cdf = np.append(self.cdf, self.nodes + at + share)
-        self.next = np.append(self.next, np.where(last, -1, self.nodes + at + n).astype(np.int32))
-        self.logp, self.other = np.append(self.logp, logp), np.append(self.other, np.repeat(total, per) - p)
-        self.run, self.n_ids = np.append(self.run, (where + len(self.ids)).astype(np.int32)), np.append(self.n_ids, n_ids.astype(np.int8))
-        self.ids = np.append(self.ids, ids)
+        self.first = _put(self.first, self.nodes, first + self.n_edges)
+        k = self.n_edges
+        self.cdf = _put(self.cdf, k, self.nodes + at + share, np.inf)  # in order to the end
+        self.next = _put(self.next, k, np.where(last, -1, self.nodes + at + n))
+        self.logp, self.other = _put(self.logp, k, logp), _put(self.other, k, np.repeat(total, per) - p)
+        self.run, self.n_ids = _put(self.run, k, where + self.n_pieces), _put(self.n_ids, k, n_ids)
+        self.ids = _put(self.ids, self.n_pieces, ids)
+        self.n_edges += len(at)
+        self.n_pieces += len(ids)
         self.nodes += len(code)
 
     def starts(self, words: list[str]) -> np.ndarray:
@@ -301,7 +318,7 @@ class Lattices:
     def node_edges(self, edge: int) -> tuple[int, int]:
         """The run of edges that leave the same node."""
         node = int(np.ceil(self.cdf[edge])) - 1
-        return int(self.first[node]), int(self.first[node + 1]) if node + 1 < self.nodes else len(self.cdf)
+        return int(self.first[node]), int(self.first[node + 1]) if node + 1 < self.nodes else self.n_edges
 
 
 class _Text:
@@ -391,6 +408,12 @@ def decode_ids(lat: Lattices, ids) -> bytes:
     return b"".join([lat.piece_bytes[i] for i in ids])[1:]
 
 
+def decode_array(lat: Lattices, ids: np.ndarray) -> bytes:
+    """``decode_ids`` of an array."""
+    n = lat.flat_n[ids]
+    return lat.flat[np.repeat(lat.flat_at[ids] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes()[1:]
+
+
 def row_keys(values: list, seed: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest("" if v is None else str(v), seed) for v in values], np.uint64)
 
@@ -462,7 +485,7 @@ def _digests(model: str, k: int, seed: int):
                     raw = text.encode()
                     for s, x in enumerate(samples):
                         ids = x["ids"]
-                        rows.append((b.column(0)[d].as_py(), s, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), x["log_prob"], x["perturbed"], x["log_inclusion"], decode_ids(lat, ids.tolist()) == raw))
+                        rows.append((b.column(0)[d].as_py(), s, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), x["log_prob"], x["perturbed"], x["log_inclusion"], decode_array(lat, ids) == raw))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "perturbed", "log_inclusion", "round_trip"])
 
@@ -483,7 +506,7 @@ def _checked(model: str, seed: int):
         lat = Lattices.of(model)
         for b in slices(batches, 2):
             for i, j, texts, found in _encoded(lat, K, seed, b.column(1), b.column(2)):
-                same = [all(decode_ids(lat, x["ids"].tolist()) == t.encode() for x in own) for t, own in zip(texts, found)]
+                same = [all(decode_array(lat, x["ids"]) == t.encode() for x in own) for t, own in zip(texts, found)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _samples(found, kind), pa.array(same, pa.bool_())], ["doc_id", "samples", "round_trip"])
 
     return run
