@@ -61,6 +61,8 @@ PRIOR = 4.0
 BUCKET_PAIRS = 2_000_000
 #: N-grams that are packed by segment at once.
 PACKED_ROWS = 500_000
+#: Rows of a bucket's sums that are handed on at once.
+OUT_ROWS = 100_000
 CHUNK_BYTES = 2 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: An n-gram and its level.
@@ -230,32 +232,44 @@ def _pair_blobs(buckets: int):
     return run
 
 
+def _in_parts(kind: int, h: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows ``(kind, h, c)`` in batches of ``OUT_ROWS``, as either side of the pipe holds a whole batch."""
+    for i in range(0, len(h), OUT_ROWS):
+        own = h[i : i + OUT_ROWS]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own.view(np.int64)), pa.array(c[i : i + OUT_ROWS])], ["kind", "h", "c"])
+
+
 def _add_up(least: int):
     """Pairs with their counts, and for the tokens before them the sums of quantised counts, in halves (kind 1)."""
     kind = np.dtype([("h", "<u8"), ("v", "<u8"), ("n", "<u4")])
 
-    def added(blobs: list[np.ndarray]) -> pa.RecordBatch:
+    def added(blobs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         own = np.concatenate(blobs)
-        own = own[np.argsort(own["h"], kind="stable")]
-        first = np.nonzero(np.append(True, own["h"][1:] != own["h"][:-1]))[0]
-        c = np.add.reduceat(own["n"].astype(np.int64), first)
+        blobs.clear()  # the rows that they are views of
+        order = np.argsort(own["h"], kind="stable")
+        h = own["h"][order]
+        first = np.nonzero(np.append(True, h[1:] != h[:-1]))[0]
+        c = np.add.reduceat(own["n"][order], first, dtype=np.int64)
         first, c = first[c >= least], c[c >= least]
-        h, v = own["h"][first], own["v"][first]
-        ids, back = np.unique(v, return_inverse=True)
-        s = np.bincount(back, 2 * VALUE[levels(c)], minlength=len(ids)).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([0, 1], np.int32), [len(h), len(ids)])), pa.array(np.concatenate([h, ids]).view(np.int64)), pa.array(np.concatenate([c, s]))], ["kind", "h", "c"])
+        h, v = h[first], own["v"][order[first]]
+        del own, order, first
+        yield from _in_parts(0, h, c)
+        del h
+        v, back = np.unique(v, return_inverse=True)
+        s = np.bincount(back, 2 * VALUE[levels(c)], minlength=len(v)).astype(np.int64) if len(v) else np.zeros(0, np.int64)
+        del back, c
+        yield from _in_parts(1, v, s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for b in batches:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1)):
                 if bucket != now and held:
-                    yield added(held)
-                    held = []
+                    yield from added(held)
                 now = bucket
                 held.append(np.frombuffer(blob.as_buffer(), kind))
         if held:
-            yield added(held)
+            yield from added(held)
 
     return run
 
