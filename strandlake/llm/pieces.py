@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import chunks, documents, fresh, slices, with_text, without
+from strandlake.llm.common import chunks, documents, fresh, release, slices, with_text, without
 
 K = 2
 SEED = 20240601
@@ -499,15 +499,20 @@ def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checked(model: str, seed: int):
-    """The samples of every document with the ids decoded again, in one pass: no text leaves the worker."""
+    """The samples of every document with the ids decoded again, in one pass: no text leaves the worker, which keeps no words after it."""
     kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = Lattices.of(model)
-        for b in slices(batches, 2):
-            for i, j, texts, found in _encoded(lat, K, seed, b.column(1), b.column(2)):
-                same = [all(decode_array(lat, x["ids"]) == t.encode() for x in own) for t, own in zip(texts, found)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _samples(found, kind), pa.array(same, pa.bool_())], ["doc_id", "samples", "round_trip"])
+        try:
+            for b in slices(batches, 2):
+                for i, j, texts, found in _encoded(lat, K, seed, b.column(1), b.column(2)):
+                    same = [all(decode_array(lat, x["ids"]) == t.encode() for x in own) for t, own in zip(texts, found)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _samples(found, kind), pa.array(same, pa.bool_())], ["doc_id", "samples", "round_trip"])
+        finally:  # other stages run beside this worker when it is idle
+            b = texts = found = same = None
+            lat.clear()
+            release()
 
     return run
 
