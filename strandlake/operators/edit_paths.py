@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +99,45 @@ def rewrite_segments(g: Graph, segments: DataFrame, *, end_inclusive: bool = Fal
 # Bulk edits by user code, and change logs ------------------------------------------------------
 
 
+def _each_path(fn) -> Callable[[Iterator], Iterator]:
+    """``fn`` for every path of frames whose rows come path by path, in path order.
+
+    What a path costs besides ``fn`` is kept small: its frame is a view, and results leave in large batches.
+    """
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        names = pd.Index(["path_id", "ord", "step_id", "handle"])
+
+        def changed(rows):
+            ids = rows[:, 0]
+            cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+            out = [fn(pd.DataFrame(rows[a:b], columns=names)) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)])]
+            n = np.array([len(x) for x in out])
+            place = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n) + 1
+            return pd.DataFrame({"path_id": np.concatenate([x["path_id"].to_numpy() for x in out]), "ord": place, "step_id": place, "handle": np.concatenate([x["handle"].to_numpy() for x in out])})
+
+        open_ = []  # rows of a path that may go on
+        for frame in frames:
+            rows = frame.to_numpy()
+            if not len(rows):
+                continue
+            ends = np.flatnonzero(rows[:, 0] != rows[-1, 0])
+            if len(ends):
+                yield changed(np.concatenate([*open_, rows[: ends[-1] + 1]]))
+                open_ = []
+            elif open_ and open_[-1][-1, 0] != rows[-1, 0]:
+                yield changed(np.concatenate(open_))
+                open_ = []
+            open_.append(rows[ends[-1] + 1 :] if len(ends) else rows)
+        if open_:
+            yield changed(np.concatenate(open_))
+
+    return run
+
+
 def map_paths(g: Graph, fn, only: DataFrame | None = None) -> Graph:
     """Run ``fn`` on the steps of each path (a pandas frame in path order) and take its ``handle`` column.
 
@@ -104,13 +145,8 @@ def map_paths(g: Graph, fn, only: DataFrame | None = None) -> Graph:
     """
     own = g.steps if only is None else g.steps.join(only.select("path_id").distinct(), "path_id", "left_semi")
 
-    def run(pdf):
-        out = fn(pdf.sort_values("ord").reset_index(drop=True))[["path_id", "handle"]].reset_index(drop=True)
-        out["ord"] = out.index + 1
-        out["step_id"] = out["ord"]
-        return out[["path_id", "ord", "step_id", "handle"]]
-
-    changed = own.groupBy("path_id").applyInPandas(run, "path_id bigint, ord bigint, step_id bigint, handle bigint")
+    rows = own.select("path_id", "ord", "step_id", "handle").repartition("path_id").sortWithinPartitions("path_id", "ord")
+    changed = rows.mapInPandas(_each_path(fn), "path_id bigint, ord bigint, step_id bigint, handle bigint")
     rest = g.steps.limit(0) if only is None else g.steps.join(only.select("path_id").distinct(), "path_id", "left_anti")
     return g.having(steps=rest.unionByName(changed))
 
