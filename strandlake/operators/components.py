@@ -1,30 +1,53 @@
 """Connected components of an undirected graph given as an edge table.
 
 Alternating large-star and small-star rounds: every round is a grouped minimum (with
-map-side combine) and an equi-join, so no neighbour list is ever collected and a hub is
-only a skewed join key, which adaptive execution splits.  The number of rounds grows with
-the logarithm of the node count.  Each round is written to the shared scratch folder, so
-a lost executor costs one round at most.
+map-side combine) and an equi-join, so no neighbour list is ever collected.  Edges of a hub
+never meet in one task: nodes of over ``HUB`` edges are joined by broadcast.  The number of
+rounds grows with the logarithm of the node count.  Each half round is written to the shared
+scratch folder, so a lost executor costs one at most.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from strandlake.plans.scratch import Table
+from strandlake.plans.scratch import Table, hold
+
+#: A node of more edges is a hub; a table has one in so many edges at most.
+HUB = 1 << 17
+
+
+def _least(e: DataFrame) -> DataFrame:
+    """``(a, m)``: the least neighbour of every node that has a smaller one; of an edge, ``b`` is the smaller end."""
+    return e.groupBy("a").agg(F.min("b").alias("m"))
+
+
+def _with_least(e: DataFrame, end: str) -> DataFrame:
+    """``e`` with ``m``, the least neighbour of the node at this ``end``, null if none is smaller."""
+    low = _least(e).withColumnRenamed("a", "_n")
+    join = lambda d, t: d.join(t, F.col(end) == F.col("_n"), "left").drop("_n")
+    many = []
+    if e.limit(HUB + 1).count() > HUB:
+        many = e.groupBy(F.col(end).alias("_n")).agg(F.count("*").alias("_c")).where(F.col("_c") > HUB).select("_n").collect()
+    if not many:
+        return join(e, low)
+    hubs = e.sparkSession.createDataFrame(many, StructType([StructField("_n", e.schema[end].dataType)]))
+    known = low.join(F.broadcast(hubs), "_n", "left_semi")
+    marked = join(e, F.broadcast(hubs.join(known, "_n", "left").withColumn("_hub", F.lit(True))))
+    rest = join(marked.where("_hub is null").select("a", "b"), low)
+    return marked.where("_hub").select("a", "b", "m").unionByName(rest)
 
 
 def _large_star(e: DataFrame) -> DataFrame:
-    both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    # what lies above a node goes to its least neighbour, and stays where there is none below it
+    return _with_least(e, "b").select("a", F.coalesce("m", "b").alias("b")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    low = e.groupBy("a").agg(F.min("b").alias("m"))
-    moved = e.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+    moved = _with_least(e, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(_least(e).select("a", F.col("m").alias("b"))).distinct()
 
 
 def _mark(e: DataFrame) -> tuple:
@@ -46,14 +69,17 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", *,
     for _ in range(max_rounds):
         if seen[0] == 0:
             break
-        new = Table(_small_star(_large_star(table.df)), "cc")
+        large = Table(_large_star(table.df), "cc")
         table.drop()
+        new = Table(_small_star(large.df), "cc")
+        large.drop()
         table, last = new, seen
         seen = _mark(table.df)
         if seen == last:
             break
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+    hold(table.spark, table.path)
     stars = table.df
     roots = stars.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     return stars.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
