@@ -1,24 +1,25 @@
 """Perfect neighbours, simple components, concatenation of runs, and unchopping.
 
 A run is a chain of nodes joined by edges that nothing else shares and that every path follows
-through.  Runs are found on oriented nodes by pointer doubling: every link is one row, each
-round joins the links with themselves, and the number of rounds is the logarithm of the
-longest run.
+through.  So a path that visits a node of a run walks all of it, and windows over paths find the
+runs.  Those that no path visits are found on oriented nodes by pointer doubling: every link is
+one row, each round joins the links with themselves, and the number of rounds is the logarithm
+of the longest run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.dna import oriented
 from strandlake.functions.handles import canonical, canonical_edges, flip, is_reverse, node_of, pack
 from strandlake.operators.components import connected_components
 from strandlake.operators.edit_graph import apply_ordering
-from strandlake.operators.order import number_globally, rank_rows
+from strandlake.operators.order import neighbours, number_globally, rank_rows
 from strandlake.operators.paths import with_next_handle
 from strandlake.operators.scan import adjacency
-from strandlake.plans.scratch import Table, materialize
+from strandlake.plans.scratch import Table, hold, materialize
 from strandlake.schema import Graph
 
 
@@ -29,13 +30,22 @@ def components(g: Graph) -> DataFrame:
     return g.nodes.select("node_id").join(c, "node_id", "left").select("node_id", F.coalesce("comp", "node_id").alias("component"))
 
 
+def _fixed(g: Graph) -> Graph:
+    """``g`` with steps and edges that are made once, for those who read them again and again."""
+    return g.having(edges=materialize(g.edges, "edges"), steps=materialize(g.steps, "steps"))
+
+
 def perfect_pairs(g: Graph, pairs: DataFrame | None = None) -> DataFrame:
     """Canonical pairs (l, r) with ``perfect``: every path that visits either node goes from one to the other.
 
     Of all edges, or of ``pairs``.  Pairs of a node with itself are never perfect; pairs that no
     path visits are.
     """
-    e = (g.edges if pairs is None else canonical_edges(pairs)).select("l", "r")
+    return _judged(g, (g.edges if pairs is None else canonical_edges(pairs)).select("l", "r")).drop("visited")
+
+
+def _judged(g: Graph, e: DataFrame) -> DataFrame:
+    """The canonical pairs ``e`` with ``perfect`` and ``visited``, whether a path goes from one to the other."""
     visits = g.steps.groupBy(node_of("handle").alias("n")).agg(F.count("*").alias("c"))
     seen = with_next_handle(g.steps).select(canonical("handle", "next_handle").alias("e")).groupBy("e.l", "e.r").agg(F.count("*").alias("both"))
     a = visits.select(F.col("n").alias("_a"), F.col("c").alias("ca"))
@@ -43,16 +53,16 @@ def perfect_pairs(g: Graph, pairs: DataFrame | None = None) -> DataFrame:
     j = e.join(seen, ["l", "r"], "left").join(a, node_of(F.col("l")) == F.col("_a"), "left").join(b, node_of(F.col("r")) == F.col("_b"), "left")
     zero = F.lit(0)
     both, ca, cb = (F.coalesce(c, zero) for c in ("both", "ca", "cb"))
-    return j.select("l", "r", ((node_of("l") != node_of("r")) & (ca == both) & (cb == both)).alias("perfect"))
+    return j.select("l", "r", ((node_of("l") != node_of("r")) & (ca == both) & (cb == both)).alias("perfect"), (both > 0).alias("visited"))
 
 
 def run_links(g: Graph) -> DataFrame:
-    """Canonical edges (l, r) along which runs go on: the only edge on either side, and perfect."""
+    """Canonical edges (l, r) along which runs go on: the only edge on either side, and perfect; with ``visited``."""
     adj = adjacency(g)
     out = adj.groupBy("l").agg(F.count("*").alias("out_degree"))
     into = adj.groupBy("r").agg(F.count("*").alias("in_degree"))
-    e = perfect_pairs(g).where("perfect").select("l", "r")
-    return e.join(out, "l").where("out_degree = 1").join(into, "r").where("in_degree = 1").select("l", "r")
+    e = _judged(g, g.edges.select("l", "r")).where("perfect")
+    return e.join(out, "l").where("out_degree = 1").join(into, "r").where("in_degree = 1").select("l", "r", "visited")
 
 
 def simple_components(g: Graph, min_size: int = 2) -> DataFrame:
@@ -61,7 +71,41 @@ def simple_components(g: Graph, min_size: int = 2) -> DataFrame:
     A run is read so that its smallest node is forward; a cycle is cut before that node; run_id
     is the smallest node id.  With ``min_size`` 1 single nodes are runs, too.
     """
+    return _runs(_fixed(g), min_size)
+
+
+def _runs(g: Graph, min_size: int) -> DataFrame:
     links = materialize(run_links(g), "links")
+    out = _walked(g.steps, links.where("visited")).where(F.col("size") >= min_size).drop("size")
+    apart = links.where("not visited").select("l", "r")
+    if not apart.isEmpty():
+        out = out.unionByName(_doubled(apart).where(F.col("size") >= min_size).drop("size"))
+    if min_size <= 1:
+        out = materialize(out, "runs")
+        alone = g.nodes.select("node_id").join(out.select(node_of("handle").alias("node_id")), "node_id", "left_anti")
+        out = out.unionByName(alone.select(F.col("node_id").alias("run_id"), F.lit(1).cast("bigint").alias("rank"), pack("node_id").alias("handle")))
+    return out
+
+
+def _walked(steps: DataFrame, links: DataFrame) -> DataFrame:
+    """``(run_id, rank, handle, size)`` of the runs whose links are visited: stretches of paths, read alike at every visit."""
+    s = neighbours(steps.select("path_id", "ord", "handle"), ["path_id"], "ord", "handle", nxt="_next")
+    s = s.select("path_id", "ord", "handle", canonical("handle", "_next").alias("e"))
+    on = links.select(F.col("l").alias("_l"), F.col("r").alias("_r"), F.lit(True).alias("on"))
+    s = s.join(on, (F.col("e.l") == F.col("_l")) & (F.col("e.r") == F.col("_r")), "left")
+    before = Window.partitionBy("path_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.select("path_id", "ord", "handle", F.max(F.when(F.col("on").isNull(), F.col("ord"))).over(before).alias("cut"))
+    stretch = Window.partitionBy("path_id", "cut")
+    s = s.select("handle", "ord", F.min("ord").over(stretch).alias("a"), F.max("ord").over(stretch).alias("z"), F.min("handle").over(stretch).alias("least"))
+    s = s.where("a < z")
+    ahead = ~is_reverse("least")
+    read = F.when(ahead, F.col("handle")).otherwise(flip("handle")).alias("handle")
+    rank = F.when(ahead, F.col("ord") - F.col("a")).otherwise(F.col("z") - F.col("ord")) + 1
+    return s.select(node_of("least").alias("run_id"), rank.alias("rank"), read, (F.col("z") - F.col("a") + 1).alias("size")).distinct()
+
+
+def _doubled(links: DataFrame) -> DataFrame:
+    """``(run_id, rank, handle, size)`` of the runs of any links (l, r)."""
     both = links.unionByName(links.select(flip("r").alias("l"), flip("l").alias("r")))
     comps = materialize(connected_components(links.select(node_of("l").alias("u"), node_of("r").alias("v"))), "runs")
     # the link into a cycle's smallest forward handle is cut: the run then starts there
@@ -87,12 +131,9 @@ def simple_components(g: Graph, min_size: int = 2) -> DataFrame:
     ranks = table.df.select("handle", "hops")
     r = members.join(ranks, "handle")
     size = comps.groupBy("comp").agg(F.count("*").alias("size"))
-    r = r.join(size, "comp").where(F.col("size") >= min_size)
-    out = r.join(_reading(j, members), ["comp", "handle"], "left_semi").select(F.col("comp").alias("run_id"), (F.col("hops") + 1).alias("rank"), "handle")
-    if min_size <= 1:
-        alone = g.nodes.select("node_id").join(comps.select(F.col("node").alias("node_id")), "node_id", "left_anti")
-        out = out.unionByName(alone.select(F.col("node_id").alias("run_id"), F.lit(1).cast("bigint").alias("rank"), pack("node_id").alias("handle")))
-    return out
+    r = r.join(size, "comp")
+    hold(table.spark, table.path)
+    return r.join(_reading(j, members), ["comp", "handle"], "left_semi").select(F.col("comp").alias("run_id"), (F.col("hops") + 1).alias("rank"), "handle", "size")
 
 
 def _reading(links: DataFrame, members: DataFrame) -> DataFrame:
@@ -141,7 +182,8 @@ def unchop(g: Graph) -> Graph:
 
     The i-th id in ascending order is replaced by the i-th id of that order; equal means go by id.
     """
-    runs = materialize(simple_components(g, 2), "unchop")
+    g = _fixed(g)
+    runs = materialize(_runs(g, 2), "unchop")
     old = number_globally(g.nodes.select("node_id"), [F.col("node_id")], "rank")
     merged, ids = concat_runs(g, runs)
     merged = Graph(*(materialize(t, "merged") for t in (merged.nodes, merged.edges, merged.paths, merged.steps)))
