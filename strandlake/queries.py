@@ -16,6 +16,7 @@ from strandlake.functions.handles import flip, is_reverse, node_of, pack
 from strandlake.operators import edit_graph, edit_paths, paths, scan, validate
 from strandlake.plans import chains as runs
 from strandlake.plans import consensus
+from strandlake.plans.scratch import materialize
 from strandlake.schema import Graph
 from strandlake.sources import gfa
 from strandlake.sources.testgraph import chains, chains_sql, dense, dense_sql
@@ -603,8 +604,6 @@ def _links(spark, sf_dir):
 
 
 def _best(spark, sf_dir):
-    from strandlake.plans.scratch import materialize
-
     g = chains(spark, sf_dir)
     links = materialize(consensus.link_candidates(g, consensus_paths(g, spark, sf_dir), 50), "candidates")
     return consensus.best_links(g, links, 50, 10_000)[0].drop("link_id")
@@ -630,7 +629,8 @@ def _(g):
 @query("gfa_round_trip", dense_sql("""SELECT 'node' AS kind, node_id AS a, 0::BIGINT AS b, seq AS t FROM nodes UNION ALL SELECT 'edge', l, r, NULL FROM edges
   UNION ALL SELECT 'step', k, ord, CAST(handle AS VARCHAR) FROM steps JOIN (SELECT path_id, row_number() OVER (ORDER BY name) - 1 AS k FROM paths) USING (path_id)"""))
 def _(g):
-    return rows(gfa.parse_lines(gfa.gfa_lines(g).select(F.col("line").alias("value"))), "nodes", "edges", "steps")
+    lines = materialize(gfa.gfa_lines(g).select(F.col("line").alias("value")), "lines")  # as a file is; every kind of record reads it
+    return rows(gfa.parse_lines(lines), "nodes", "edges", "steps")
 
 
 @query("validate", dense_sql("""SELECT 'empty sequence' AS problem, CAST(node_id AS VARCHAR) AS subject FROM nodes WHERE seq = ''
