@@ -6,16 +6,23 @@ table with one row per block carries totals and ends over to the next.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 18
+#: Rows that one task sorts or groups, about, where a table is dealt out by its size.
+TASK_ROWS = 1 << 19
 
 
 def _block(ordinal: Column) -> Column:
     return F.floor(ordinal / F.lit(BLOCK))
 
 
+def parts_for(rows: int, spark: SparkSession) -> int:
+    """Parts of a table of so many rows, so that what a task holds doesn't grow with the table; not fewer than shuffles have."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def prefix_sum(df: DataFrame, group: list[str], ordinal: str, value: Column, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows before this one in its group (0 for the first)."""
     d = df.withColumns({"_b": _block(F.col(ordinal)), "_v": value})
@@ -28,21 +35,20 @@ def prefix_sum(df: DataFrame, group: list[str], ordinal: str, value: Column, out
 
 
 def neighbours(df: DataFrame, group: list[str], ordinal: str, value: str, nxt: str | None = None, prev: str | None = None) -> DataFrame:
-    """Add the value of the next and of the previous row of the group; ordinals have no gaps."""
-    d = df.withColumn("_b", _block(F.col(ordinal)))
+    """Add the value of the next and of the previous row of the group; ordinals have no gaps.
+
+    A row at the border of a block is also put into the block on the other side, so one sort serves for both.
+    """
+    own = _block(F.col(ordinal))
+    blocks = F.array(own)
+    for name, step in ((nxt, -1), (prev, 1)):
+        if name:
+            other = _block(F.col(ordinal) + step)
+            blocks = F.when(other != own, F.concat(blocks, F.array(other))).otherwise(blocks)
+    d = df.withColumn("_b", F.explode(blocks))
     w = Window.partitionBy(*group, "_b").orderBy(ordinal)
-    cols = list(df.columns)
-    for name, step in ((nxt, 1), (prev, -1)):
-        if not name:
-            continue
-        edge = F.min_by(value, ordinal) if step == 1 else F.max_by(value, ordinal)
-        ends = d.groupBy(*group, "_b").agg(edge.alias("_edge")).withColumn("_b", F.col("_b") - step)
-        shifted = F.lead(value).over(w) if step == 1 else F.lag(value).over(w)
-        d = d.withColumn("_n", shifted).join(ends, [*group, "_b"], "left")
-        last = F.lead(F.lit(True)).over(w).isNull() if step == 1 else F.lag(F.lit(True)).over(w).isNull()
-        d = d.withColumn(name, F.when(last, F.col("_edge")).otherwise(F.col("_n"))).drop("_n", "_edge")
-        cols.append(name)
-    return d.select(*cols)
+    found = {name: f(value).over(w) for name, f in ((nxt, F.lead), (prev, F.lag)) if name}
+    return d.withColumns(found).where(F.col("_b") == own).select(*df.columns, *found)
 
 
 def rank_rows(df: DataFrame, group: list[str], order: list[Column], out: str = "ord") -> DataFrame:

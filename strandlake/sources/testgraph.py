@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.handles import canonical_edges, pack
-from strandlake.operators.order import rank_rows
-from strandlake.operators.paths import with_next_handle
+from strandlake.functions.handles import canonical, pack
+from strandlake.operators.order import parts_for
 from strandlake.schema import Graph
 
 
@@ -15,8 +14,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _with_edges(nodes: DataFrame, paths: DataFrame, steps: DataFrame) -> Graph:
-    return Graph(nodes, canonical_edges(with_next_handle(steps), "handle", "next_handle"), paths, steps)
+def _with_edges(nodes: DataFrame, paths: DataFrame, visits: DataFrame, order: list[Column], rows: int) -> Graph:
+    """The graph of ``rows`` visits (path_id, handle and the order's columns), and the edges that they walk.
+
+    Numbers and next handles come from one sort, and parts from the number of rows, so a task's memory doesn't grow.
+    Most edges are walked once, so they are dealt out before repeats go.
+    """
+    n = parts_for(rows, visits.sparkSession)
+    w = Window.partitionBy("path_id").orderBy(*order)
+    s = visits.repartition(n, "path_id").withColumns({"ord": F.row_number().over(w).cast("bigint"), "next": F.lead("handle").over(w)})
+    edges = s.where("next is not null").select(canonical("handle", "next").alias("e")).select("e.l", "e.r").repartition(n, "l", "r").distinct()
+    return Graph(nodes, edges, paths, s.select("path_id", "ord", F.col("ord").alias("step_id"), "handle"))
 
 
 def dense(spark: SparkSession, sf_dir: str) -> Graph:
@@ -27,9 +35,8 @@ def dense(spark: SparkSession, sf_dir: str) -> Graph:
     paths = o.select(F.col("o_orderkey").alias("path_id"), F.concat(F.lit("order#"), "o_orderkey").alias("name"), (F.col("o_orderstatus") == "P").alias("circular"))
     li = _table(spark, sf_dir, "lineitem")
     order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")]
-    s = rank_rows(li.select("l_orderkey", *order, "l_linestatus"), ["l_orderkey"], order)
-    steps = s.select(F.col("l_orderkey").alias("path_id"), "ord", F.col("ord").alias("step_id"), pack(F.col("l_partkey") + 1, F.col("l_linestatus") == "F").alias("handle"))
-    return _with_edges(nodes, paths, steps)
+    visits = li.select(F.col("l_orderkey").alias("path_id"), *order, pack(F.col("l_partkey") + 1, F.col("l_linestatus") == "F").alias("handle"))
+    return _with_edges(nodes, paths, visits, order, li.count())
 
 
 def chains(spark: SparkSession, sf_dir: str) -> Graph:
@@ -44,8 +51,8 @@ def chains(spark: SparkSession, sf_dir: str) -> Graph:
     first = c.select(F.col("c_custkey").alias("path_id"), F.lit(0).alias("side"), F.lit(None).cast("timestamp").alias("t"), F.lit(0).cast("bigint").alias("k"), pack(F.col("c_nationkey").cast("bigint") + 1).alias("handle"))
     last = c.select(F.col("c_custkey").alias("path_id"), F.lit(2).alias("side"), F.lit(None).cast("timestamp").alias("t"), F.lit(0).cast("bigint").alias("k"), pack(segment + 50).alias("handle"))
     inner = o.select(F.col("o_custkey").alias("path_id"), F.lit(1).alias("side"), F.col("o_orderdate").alias("t"), F.col("o_orderkey").alias("k"), pack(F.col("o_orderkey") + 101).alias("handle"))
-    s = rank_rows(first.unionByName(inner).unionByName(last), ["path_id"], [F.col("side"), F.col("t"), F.col("k")])
-    return _with_edges(nodes, paths, s.select("path_id", "ord", F.col("ord").alias("step_id"), "handle"))
+    visits = first.unionByName(inner).unionByName(last)
+    return _with_edges(nodes, paths, visits, [F.col("side"), F.col("t"), F.col("k")], o.count() + 2 * c.count())
 
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
