@@ -604,7 +604,7 @@ def _links(spark, sf_dir):
 
 
 def _best(spark, sf_dir):
-    g = chains(spark, sf_dir)
+    g = runs._fixed(chains(spark, sf_dir))
     links = materialize(consensus.link_candidates(g, consensus_paths(g, spark, sf_dir), 50), "candidates")
     return consensus.best_links(g, links, 50, 10_000)[0].drop("link_id")
 
