@@ -1,7 +1,7 @@
 """Connected components of an undirected graph given as an edge table.
 
-Alternating large-star and small-star rounds: every round is a grouped minimum (with
-map-side combine) and an equi-join, so no neighbour list is ever collected.  Edges of a hub
+Alternating large-star and small-star rounds: every round is a grouped minimum and
+an equi-join, in parts by the number of rows, so no neighbour list is ever collected.  Edges of a hub
 never meet in one task: nodes of over ``HUB`` edges are joined by broadcast.  The number of
 rounds grows with the logarithm of the node count.  Each half round is written to the shared
 scratch folder, so a lost executor costs one at most.
@@ -13,15 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from strandlake.operators.order import parts_for
 from strandlake.plans.scratch import Table, hold
 
 #: A node of more edges is a hub; a table has one in so many edges at most.
 HUB = 1 << 17
 
 
+def _parts(e: DataFrame) -> int:
+    """Parts by the rows of a written table, so that a task's memory doesn't grow with it."""
+    return parts_for(e.count(), e.sparkSession)
+
+
 def _least(e: DataFrame) -> DataFrame:
     """``(a, m)``: the least neighbour of every node that has a smaller one; of an edge, ``b`` is the smaller end."""
-    return e.groupBy("a").agg(F.min("b").alias("m"))
+    return e.repartition(_parts(e), "a").groupBy("a").agg(F.min("b").alias("m"))
 
 
 def _with_least(e: DataFrame, end: str) -> DataFrame:
@@ -29,14 +35,14 @@ def _with_least(e: DataFrame, end: str) -> DataFrame:
     low = _least(e).withColumnRenamed("a", "_n")
     join = lambda d, t: d.join(t, F.col(end) == F.col("_n"), "left").drop("_n")
     many = []
-    if e.limit(HUB + 1).count() > HUB:
+    if e.count() > HUB:
         many = e.groupBy(F.col(end).alias("_n")).agg(F.count("*").alias("_c")).where(F.col("_c") > HUB).select("_n").collect()
     if not many:
-        return join(e, low)
+        return join(e.repartition(_parts(e), end), low)
     hubs = e.sparkSession.createDataFrame(many, StructType([StructField("_n", e.schema[end].dataType)]))
     known = low.join(F.broadcast(hubs), "_n", "left_semi")
     marked = join(e, F.broadcast(hubs.join(known, "_n", "left").withColumn("_hub", F.lit(True))))
-    rest = join(marked.where("_hub is null").select("a", "b"), low)
+    rest = join(marked.where("_hub is null").select("a", "b").repartition(_parts(e), end), low)
     return marked.where("_hub").select("a", "b", "m").unionByName(rest)
 
 
